@@ -12,11 +12,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clearlane import constants as K
 
-COUNT = {"n": F.count}
-
 
 def margin_table(
     df: DataFrame,
@@ -62,23 +61,42 @@ def referrals_by_decision(referrals: DataFrame) -> DataFrame:
     )
 
 
+def _lines_with_decision(lines: DataFrame, *keys: str) -> DataFrame:
+    """Lines counted per referral and ``keys``, with the referral's decision:
+    the cross-tabs of lines by new decision need no join of the decision back
+    to each line. A referral number shared by many lines is a few rows here."""
+    counted = lines.groupBy("auth_number", *keys).agg(
+        F.count("units").alias("units"),
+        F.count("cpt_code").alias("codes"),
+        F.count("auth_number").alias("numbers"),
+        F.min("auto_approvable").alias("__least"),
+    )
+    whole = Window.partitionBy("auth_number")
+    known = F.when(F.col("auth_number").isNotNull(), F.min("__least").over(whole))
+    return counted.withColumn("aa_yn", known).drop("__least")
+
+
 def old_by_new(lines: DataFrame) -> DataFrame:
-    """Old status (rows) by new decision (columns), with margins."""
+    """Old status (rows) by new decision (columns), with margins. Takes lines
+    with ``auto_approvable``, as do the next two."""
     rows = ["is_autoapp", "is_den"]
     return margin_table(
-        lines, [*rows, "aa_yn"], [rows, ["aa_yn"], []], {"n": F.count("units")}
+        _lines_with_decision(lines, *rows), [*rows, "aa_yn"], [rows, ["aa_yn"], []],
+        {"n": F.sum("units")},
     )
 
 
 def lines_by_decision(lines: DataFrame) -> DataFrame:
     return margin_table(
-        lines, ["aa_yn", "is_den"], _crossed("aa_yn", "is_den"), {"n": F.count("cpt_code")}
+        _lines_with_decision(lines, "is_den"), ["aa_yn", "is_den"], _crossed("aa_yn", "is_den"),
+        {"n": F.sum("codes")},
     )
 
 
 def lines_by_priority(lines: DataFrame) -> DataFrame:
     return margin_table(
-        lines, ["aa_yn", "urgent"], _crossed("aa_yn", "urgent"), {"n": F.count("auth_number")}
+        _lines_with_decision(lines, "urgent"), ["aa_yn", "urgent"], _crossed("aa_yn", "urgent"),
+        {"n": F.sum("numbers")},
     )
 
 
@@ -86,23 +104,6 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
     return margin_table(decisions, ["final_decision"], [[]], {"n": F.count("cpt_code")})
 
 
-def referral_counts(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lines counted per referral and ``keys``, with the referral's decision:
-    the cross-tabs of lines by new decision need only this, not a join of the
-    decision back to each line. Takes lines with ``auto_approvable``."""
-    from pyspark.sql.window import Window
-
-    counted = lines.groupBy("auth_number", *keys).agg(
-        F.count("units").alias("n_units"),
-        F.count("cpt_code").alias("n_codes"),
-        F.min("auto_approvable").alias("__least"),
-        F.count("auth_number").alias("n_auth"),
-    )
-    whole = Window.partitionBy("auth_number")
-    known = F.when(F.col("auth_number").isNotNull(), F.min("__least").over(whole))
-    return counted.withColumn("aa_yn", known).drop("__least")
-
-
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """Distinct values with their frequency, most frequent first."""
     return (

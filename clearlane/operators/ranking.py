@@ -89,5 +89,7 @@ def quantile_bin(df: DataFrame, column: str, parts: int, out: str) -> DataFrame:
     always share a bin, a bin includes its upper edge, null stays null and
     repeated edges merge."""
     edges = quantile_edges(df, column, parts).scalar()
-    above = F.size(F.filter(edges, lambda edge: F.col(column) > edge))
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), above).cast("int"))
+    above = F.lit(0)
+    for part in range(parts - 1):
+        above = above + F.when(F.col(column) > edges[part], 1).otherwise(0)
+    return df.withColumn(out, F.when(F.col(column).isNotNull(), above))

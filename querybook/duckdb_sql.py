@@ -508,7 +508,7 @@ def _round(source: str, digits: int, *columns: str, exclude: str = "") -> str:
 
 
 def _table(source: str) -> str:
-    return _round(source, 2, *_MONEY, exclude="cnt_hcp_cost")
+    return _round(source, 4, *_MONEY, exclude="cnt_hcp_cost")
 
 
 def _xtab(source: str, keys: list[str], sets: str, measure: str) -> str:
@@ -552,9 +552,9 @@ def _rule_constants() -> str:
 
 
 QUERIES |= {
-    "claims_cost_stats": _round("claim_stats", 2, "sd_hcp_cost"),
+    "claims_cost_stats": _round("claim_stats", 4, "sd_hcp_cost"),
     "claims_cost_stats_quarterly": _round(
-        "(" + _stats_select("claim_rows_quarterly") + ")", 2, "sd_hcp_cost"
+        "(" + _stats_select("claim_rows_quarterly") + ")", 4, "sd_hcp_cost"
     ),
     "claim_dimension_semi": "SELECT * FROM claim_rows",
     "cpt_short_name": "SELECT * FROM names",
@@ -580,15 +580,15 @@ QUERIES |= {
                      WHERE upper(region) = 'SAN GABRIEL VALLEY' GROUP BY region, specialty""",
     "note_cleanup": f"""SELECT {_case('reason', K.NOTE_CLEANUP)} AS notes, count(*) AS n
                         FROM decision_log WHERE decision_year = 1996 GROUP BY 1""",
-    "cost_by_code": _round("code_mean", 2, "avg_hcp_cost_code"),
+    "cost_by_code": _round("code_mean", 4, "avg_hcp_cost_code"),
     "manual_volume": """SELECT specialty, cpt_code, is_ppl, count(units) AS units_man FROM clean
                         WHERE is_autoapp = 0 AND specialty IS NOT NULL GROUP BY ALL""",
     "code_summary": "SELECT specialty, cpt_code, is_ppl, units, auto_rate, denial_rate, units_man FROM roi",
     "code_cost_fallback": """SELECT specialty, cpt_code, is_ppl, units, auto_rate, denial_rate,
-      units_man, cnt_hcp_cost, round(avg_hcp_cost, 2) AS avg_hcp_cost FROM roi""",
+      units_man, cnt_hcp_cost, round(avg_hcp_cost, 4) AS avg_hcp_cost FROM roi""",
     "review_unit_cost": """SELECT CAST(sum(1 - is_autoapp) AS BIGINT) AS lines_man,
-      round((SELECT unit_cost FROM ga), 2) AS unit_cost FROM clean""",
-    "review_roi": _round("roi", 2, *_MONEY),
+      round((SELECT unit_cost FROM ga), 4) AS unit_cost FROM clean""",
+    "review_roi": _round("roi", 4, *_MONEY),
     "unmatched_counts": """SELECT count(*) FILTER (cost_to_review IS NULL) AS groups_without_review,
       count(*) FILTER (avg_hcp_cost IS NULL) AS groups_without_cost,
       count(*) FILTER (roi IS NULL) AS groups_without_roi FROM roi""",
@@ -637,10 +637,10 @@ QUERIES |= {
                               FROM rollup GROUP BY specialty""",
     "line_financials": """
       SELECT auth_number, specialty, cpt_code, is_ppl, aa_yn,
-             round(dollars_denied_now_app, 2) AS dollars_denied_now_app,
-             round(cost_to_review_bene, 2) AS cost_to_review_bene,
-             round(cost_to_review_loss, 2) AS cost_to_review_loss,
-             round(new_denial_bene_est, 2) AS new_denial_bene_est FROM financials""",
+             round(dollars_denied_now_app, 4) AS dollars_denied_now_app,
+             round(cost_to_review_bene, 4) AS cost_to_review_bene,
+             round(cost_to_review_loss, 4) AS cost_to_review_loss,
+             round(new_denial_bene_est, 4) AS new_denial_bene_est FROM financials""",
     "specialty_financials": """
       SELECT specialty, round(dollars_denied_now_app, 2) AS dollars_denied_now_app,
              round(cost_to_review_bene, 2) AS cost_to_review_bene,
@@ -657,7 +657,7 @@ QUERIES |= {
     "projected_code_rate": "SELECT * FROM code_rate",
     "code_detail": f"""
       SELECT p.specialty, p.cpt_code, p.is_ppl, p.units, p.auto_rate, p.denial_rate, p.units_man,
-             {', '.join(f'round(p.{c}, 2) AS {c}' for c in _MONEY)}, p.fin_aa_rec, p.dec_source,
+             {', '.join(f'round(p.{c}, 4) AS {c}' for c in _MONEY)}, p.fin_aa_rec, p.dec_source,
              p.overrule_rsn, p.final_decision, r.new_rate, n.name AS cpt_desc
       FROM plan_c p LEFT JOIN code_rate r
         ON r.specialty = p.specialty AND r.cpt_code = p.cpt_code AND r.is_ppl = p.is_ppl
@@ -688,8 +688,8 @@ QUERIES |= {
     "period_split": "SELECT auth_number, cpt_code, date_received, post FROM halves",
     "period_bounds": "SELECT * FROM bounds",
     "period_summary": """SELECT *, round(CASE WHEN units_man > 0
-      THEN units_man * (SELECT unit_cost FROM period_ga) END, 2) AS cost_to_review FROM half_groups""",
-    "period_compare": _round("comparison", 2, "avg_hcp_cost", "roi", "roi_pre"),
+      THEN units_man * (SELECT unit_cost FROM period_ga) END, 4) AS cost_to_review FROM half_groups""",
+    "period_compare": _round("comparison", 4, "avg_hcp_cost", "roi", "roi_pre"),
     "high_volume_groups": """SELECT specialty, cpt_code, is_ppl, units, units_pre, vol_increase
                              FROM comparison WHERE units > 40""",
     "reason_category": f"""

@@ -7,6 +7,8 @@ of its source.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,29 +97,65 @@ def code_rows():
     return tuple((f"Brand#{i}", code) for i, code in enumerate(CODES, start=1))
 
 
+# declared, so that no job has to open the files to find out
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
+def once(method):
+    """Define a table once per object."""
+
+    @wraps(method)
+    def defined(self, *args):
+        key = (method.__name__, *args)
+        if key not in self.made:
+            self.made[key] = method(self, *args)
+        return self.made[key]
+
+    return defined
+
+
 class Sample:
-    """Derived tables of one data folder, built on demand."""
+    """Derived tables of one data folder, each defined once and on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.made: dict[tuple, DataFrame | dict[str, DataFrame]] = {}
 
+    @once
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        return self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(path)
 
     def inline(self, rows, columns: str) -> DataFrame:
         return _inline(self.spark, rows, columns)
 
+    @once
     def specialties(self) -> DataFrame:
         named = self.inline(specialty_rows(), "n_nationkey, specialty")
         return self.raw("nation").select("n_nationkey", "n_regionkey").join(named, "n_nationkey")
 
+    @once
     def parts(self) -> DataFrame:
         named = self.inline(code_rows(), "p_brand, code")
         return self.raw("part").select("p_partkey", "p_brand", "p_name").join(named, "p_brand")
 
     # --- referral warehouse -----------------------------------------------------
 
+    @once
     def referral_tables(self) -> dict[str, DataFrame]:
         customer = self.raw("customer")
         balance = F.col("c_acctbal")
@@ -179,6 +217,7 @@ class Sample:
 
     # --- claim warehouse ----------------------------------------------------------
 
+    @once
     def claim_tables(self) -> dict[str, DataFrame]:
         supplier = self.raw("supplier")
         specialties = self.specialties()
@@ -236,6 +275,7 @@ class Sample:
 
     # --- sheets and predictions ------------------------------------------------------
 
+    @once
     def decision_log(self) -> DataFrame:
         """Clinical decisions per (specialty, code, network, year): returned
         against accepted line items decide, their difference gives the reason."""
@@ -300,6 +340,7 @@ class Sample:
         """All years in one sheet: keys repeat, the latest decision counts."""
         return self.decision_log().drop("decision_year")
 
+    @once
     def predictions(self) -> DataFrame:
         balance, flag = F.col("c_acctbal"), F.col("l_returnflag")
         specialty = F.col("specialty")

@@ -28,6 +28,7 @@ from clearlane.operators.staging import stage
 from clearlane.plans.decisions import Decisions, analyse, decide
 from clearlane.sources import sinks, warehouse
 from querybook import sample as S
+from querybook.sample import once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +44,10 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def amounts(df: DataFrame, *columns: str) -> DataFrame:
+    return rounded(df, 4, *columns)
+
+
+def totals(df: DataFrame, *columns: str) -> DataFrame:
     return rounded(df, 2, *columns)
 
 
@@ -75,23 +80,28 @@ class Book(S.Sample):
         options = {"department_cost": S.DEPARTMENT_COST, **options}
         return decide(self.clean(rules_), self.claims(), plan, sheets, **options)
 
+    @once
     def plan_c(self) -> Decisions:
         return self.plan(overrides.PLAN_C, {"master": self.master()})
 
+    @once
     def scored(self) -> DataFrame:
         return approval.assign_status(self.clean(), approval.allow_list(self.plan_c().table))
 
     def predictions_prepared(self) -> DataFrame:
         return evaluation.prepare_predictions(self.predictions())
 
+    @once
     def evaluated(self) -> DataFrame:
         return evaluation.with_decisions(
             evaluation.confidence_decile(self.predictions_prepared()), self.master()
         )
 
+    @once
     def costs(self) -> DataFrame:
         return evaluation.referral_cost(self.lines(), self.master())
 
+    @once
     def cells(self) -> DataFrame:
         return evaluation.evaluation_cells(self.evaluated(), self.costs())
 
@@ -374,7 +384,7 @@ def specialty_rates(b: Book) -> DataFrame:
 
 @query
 def denied_now_approved(b: Book) -> DataFrame:
-    return amounts(
+    return totals(
         summary.denied_now_approved(summary.referral_rollup(b.scored())), "deny_now_aa"
     )
 
@@ -391,7 +401,7 @@ def line_financials(b: Book) -> DataFrame:
 def specialty_financials(b: Book) -> DataFrame:
     decisions = b.plan_c()
     lines = summary.scored_line_financials(b.clean(), decisions.table, decisions.unit_cost)
-    return amounts(summary.specialty_financials(lines), *summary.DOLLARS)
+    return totals(summary.specialty_financials(lines), *summary.DOLLARS)
 
 
 SUMMARY_AMOUNTS = (*summary.DOLLARS, "deny_now_aa", "net_benefit", "net_benefit_w_new_den")
@@ -404,7 +414,7 @@ def _summary(b: Book) -> DataFrame:
 
 @query
 def specialty_summary(b: Book) -> DataFrame:
-    return amounts(rates(_summary(b), "new_rate", "old_rate"), *SUMMARY_AMOUNTS)
+    return totals(rates(_summary(b), "new_rate", "old_rate"), *SUMMARY_AMOUNTS)
 
 
 @query
@@ -424,7 +434,7 @@ def new_period_summary(b: Book) -> DataFrame:
     report = summary.specialty_summary(
         new, decisions.table, decisions.unit_cost, with_region=True, staged=True
     )
-    return amounts(rates(report, "new_rate", "old_rate"), *SUMMARY_AMOUNTS)
+    return totals(rates(report, "new_rate", "old_rate"), *SUMMARY_AMOUNTS)
 
 
 @query
@@ -599,7 +609,7 @@ def quality_checks(b: Book) -> DataFrame:
     checks = quality.quality_checks(
         b.lines(), b.analysed().table, b.master(), S.AS_OF, S.DEPARTMENT_COST
     )
-    return amounts(checks, "value", "lo", "hi")
+    return totals(checks, "value", "lo", "hi")
 
 
 @query
