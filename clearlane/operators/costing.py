@@ -68,11 +68,12 @@ def review_unit_cost(lines: DataFrame, department_cost: float = K.DEPARTMENT_COS
     )
 
 
-def profile_unit_cost(profile: DataFrame, department_cost: float = K.DEPARTMENT_COST) -> Column:
-    """The same unit cost from a staged profile, as a scalar."""
-    return profile.agg(
-        safe_ratio(F.lit(department_cost), F.sum("lines_man")).alias("unit_cost")
-    ).scalar()
+def profile_unit_cost(
+    profile: DataFrame, department_cost: float = K.DEPARTMENT_COST
+) -> float | None:
+    """The same unit cost as one number from a staged profile."""
+    manual = profile.agg(F.sum("lines_man")).first()[0]
+    return department_cost / manual if manual else None
 
 
 def code_cost(summary: DataFrame, claims: DataFrame) -> DataFrame:
@@ -103,12 +104,15 @@ def roi_columns(
     }
 
 
-def review_roi(summary: DataFrame, unit_cost: Column) -> DataFrame:
+def review_cost(units_man: str, unit_cost: float | None) -> Column:
+    """Null where nobody reviewed."""
+    return F.when(F.col(units_man) > 0, F.col(units_man) * F.lit(unit_cost).cast("double"))
+
+
+def review_roi(summary: DataFrame, unit_cost: float | None) -> DataFrame:
     """``summary`` with costs gains the review cost, the return and the
-    recommendation. Review cost is null where nobody reviewed."""
-    with_cost = summary.withColumn(
-        "cost_to_review", F.when(F.col("units_man") > 0, F.col("units_man") * unit_cost)
-    )
+    recommendation."""
+    with_cost = summary.withColumn("cost_to_review", review_cost("units_man", unit_cost))
     return with_cost.withColumns(
         roi_columns(
             F.col("avg_hcp_cost"), F.col("denial_rate"), F.col("units"), F.col("cost_to_review")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearlane import constants as K
 from clearlane.functions.columns import flag, in_list, safe_ratio, whole_days
-from clearlane.operators.costing import GROUP, code_cost, roi_columns
+from clearlane.operators.costing import GROUP, code_cost, review_cost, roi_columns
 from clearlane.operators.overrides import latest_decisions
 from clearlane.operators.staging import stage
 
@@ -23,12 +26,24 @@ def period_bounds(lines: DataFrame) -> DataFrame:
     )
 
 
-def period_split(lines: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Period:
+    """The figures of :func:`period_bounds`; nulls for an empty period."""
+
+    mid_date: datetime | None
+    year_share: float | None
+
+
+def measure_period(lines: DataFrame) -> Period:
+    row = period_bounds(lines).first()
+    return Period(row["mid_date"], row["year_share"])
+
+
+def period_split(lines: DataFrame, measured: Period | None = None) -> DataFrame:
     """``post`` is 1 from the midpoint on; a missing date counts as before."""
-    bounds = period_bounds(lines) if bounds is None else bounds
-    return lines.withColumn(
-        "post", flag(F.col("date_received") >= bounds.select("mid_date").scalar())
-    )
+    measured = measured or measure_period(lines)
+    middle = F.lit(measured.mid_date).cast("timestamp_ntz")
+    return lines.withColumn("post", flag(F.col("date_received") >= middle))
 
 
 def _half(post: int) -> dict[str, Column]:
@@ -59,12 +74,12 @@ def _known() -> Column:
 
 
 def period_unit_cost(
-    profiles: DataFrame, bounds: DataFrame, department_cost: float = K.DEPARTMENT_COST
-) -> Column:
+    lines_man: int | None, measured: Period, department_cost: float = K.DEPARTMENT_COST
+) -> float | None:
     """Department cost scaled to the period, per manual line."""
-    manual = profiles.agg(F.sum(F.col("lines_man") + F.col("lines_man_pre")).alias("m")).scalar()
-    share = bounds.select("year_share").scalar()
-    return safe_ratio(F.lit(department_cost) * share, manual)
+    if not lines_man or measured.year_share is None:
+        return None
+    return department_cost * measured.year_share / lines_man
 
 
 def period_summary(
@@ -72,24 +87,25 @@ def period_summary(
 ) -> DataFrame:
     """Per half and group: volume, automatic approval rate, manual volume,
     denial rate of the manual lines and review cost."""
-    bounds = stage(period_bounds(lines))
-    split = period_split(lines, bounds)
+    measured = measure_period(lines)
     manual = F.col("is_autoapp") == 0
-    grouped = split.groupBy("post", *GROUP).agg(
-        F.count("units").alias("units"),
-        F.avg("is_autoapp").alias("is_autoapp"),
-        F.count(F.when(manual, F.col("units"))).alias("units_man"),
-        F.avg(F.when(manual, F.col("is_den"))).alias("is_den"),
-        F.count(F.when(manual, 1)).alias("lines_man"),
+    grouped = stage(
+        period_split(lines, measured)
+        .groupBy("post", *GROUP)
+        .agg(
+            F.count("units").alias("units"),
+            F.avg("is_autoapp").alias("is_autoapp"),
+            F.count(F.when(manual, F.col("units"))).alias("units_man"),
+            F.avg(F.when(manual, F.col("is_den"))).alias("is_den"),
+            F.count(F.when(manual, 1)).alias("lines_man"),
+        )
     )
-    grouped = stage(grouped)
-    unit_cost = safe_ratio(
-        F.lit(department_cost) * bounds.select("year_share").scalar(),
-        grouped.agg(F.sum("lines_man").alias("m")).scalar(),
+    unit_cost = period_unit_cost(
+        grouped.agg(F.sum("lines_man")).first()[0], measured, department_cost
     )
     return (
         grouped.filter(_known())
-        .withColumn("cost_to_review", F.when(F.col("units_man") > 0, F.col("units_man") * unit_cost))
+        .withColumn("cost_to_review", review_cost("units_man", unit_cost))
         .drop("lines_man")
     )
 
@@ -104,14 +120,16 @@ def reason_category(df: DataFrame, reason: str = "reason", out: str = "reason_ca
     return df.withColumn(out, category)
 
 
-def _half_roi(profiles: DataFrame, unit_cost: Column) -> DataFrame:
+def _half_roi(profiles: DataFrame, unit_cost: float | None) -> DataFrame:
     """Return and recommendation of each half; a half without lines is null."""
     for suffix in ("", "_pre"):
         units, man = f"units{suffix}", f"units_man{suffix}"
         present = F.col(f"lines{suffix}") > 0
-        review = F.when(F.col(man) > 0, F.col(man) * unit_cost)
         figures = roi_columns(
-            F.col("avg_hcp_cost"), F.col(f"is_den{suffix}"), F.col(man), review
+            F.col("avg_hcp_cost"),
+            F.col(f"is_den{suffix}"),
+            F.col(man),
+            review_cost(man, unit_cost),
         )
         profiles = profiles.withColumns(
             {
@@ -134,9 +152,10 @@ def period_compare(
     """Later against earlier half per (specialty, code, in network), with code
     name and clinical decision. Decisions without volume stay; groups whose
     code has no name do not."""
-    bounds = stage(period_bounds(lines))
-    profiles = stage(half_profiles(period_split(lines, bounds)))
-    unit_cost = period_unit_cost(profiles, bounds, department_cost)
+    measured = measure_period(lines)
+    profiles = stage(half_profiles(period_split(lines, measured)))
+    manual = profiles.agg(F.sum(F.col("lines_man") + F.col("lines_man_pre"))).first()[0]
+    unit_cost = period_unit_cost(manual, measured, department_cost)
     halves = _half_roi(code_cost(profiles.filter(_known()), claims), unit_cost)
     compared = halves.withColumns(
         {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -53,43 +55,43 @@ def sequence_number(df: DataFrame, order_by: Sequence[str], out: str) -> DataFra
     )
 
 
-def quantile_edges(df: DataFrame, column: str, parts: int) -> DataFrame:
-    """One row with the ``parts - 1`` inner quantile edges of ``column`` as an
-    array, linearly interpolated. Equal values are counted once with their
-    frequency first, so a value that fills a third of the table is one row."""
+def quantile_edges(df: DataFrame, column: str, parts: int) -> list[float]:
+    """The ``parts - 1`` inner quantile edges of ``column``, linearly
+    interpolated; empty without any value. Only these few numbers reach the
+    driver. Equal values are counted first, so a value that fills a third of
+    the table is one row."""
     counted = (
         df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .groupBy(F.col(column).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranged = _ranged(counted, ["__value"])
-    ranked = _accumulate(ranged, ["__value"], "__n", "__upto")
-    last = ranged.agg((F.sum("__n") - 1).alias("last")).scalar()
-
-    picks = []
-    for part in range(1, parts):
-        position = last.cast("double") * F.lit(part * (1.0 / parts))
-        low, high = F.floor(position), F.ceil(position)
-        picks += [
-            F.min(F.when(F.col("__upto") > low, F.col("__value"))).alias(f"a{part}"),
-            F.min(F.when(F.col("__upto") > high, F.col("__value"))).alias(f"b{part}"),
-            F.max(position - low).alias(f"t{part}"),
-        ]
-    edges = ranked.agg(*picks)
-
-    def interpolate(part: int):
-        a, b, t = F.col(f"a{part}"), F.col(f"b{part}"), F.col(f"t{part}")
-        return F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (1 - t))
-
-    return edges.select(F.array(*[interpolate(p) for p in range(1, parts)]).alias("edges"))
+    ranged = _ranged(counted, ["value"])
+    total = ranged.agg(F.sum("n")).first()[0]
+    if total is None:
+        return []
+    positions = [(total - 1) * (part * (1.0 / parts)) for part in range(1, parts)]
+    places = sorted({p for at in positions for p in (math.floor(at), math.ceil(at))})
+    ranked = _accumulate(ranged, ["value"], "n", "upto")
+    found = ranked.agg(
+        *[F.min(F.when(F.col("upto") > place, F.col("value"))).alias(str(place)) for place in places]
+    ).first()
+
+    def interpolate(at: float) -> float:
+        low, high = found[str(math.floor(at))], found[str(math.ceil(at))]
+        share = at - math.floor(at)
+        if share < 0.5:
+            return low + (high - low) * share
+        return high - (high - low) * (1 - share)
+
+    return [interpolate(at) for at in positions]
 
 
 def quantile_bin(df: DataFrame, column: str, parts: int, out: str) -> DataFrame:
     """Number (0-based) of the value-quantile bin of ``column``: equal values
     always share a bin, a bin includes its upper edge, null stays null and
     repeated edges merge."""
-    edges = quantile_edges(df, column, parts).scalar()
+    value = F.col(column)
     above = F.lit(0)
-    for part in range(parts - 1):
-        above = above + F.when(F.col(column) > edges[part], 1).otherwise(0)
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), above))
+    for edge in quantile_edges(df, column, parts):
+        above = above + F.when(value > edge, 1).otherwise(0)
+    return df.withColumn(out, F.when(value.isNotNull(), above))

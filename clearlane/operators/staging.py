@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,6 @@ BROADCAST_ROW_LIMIT = 500_000
 # A key is hot when it holds more than 1/HOT_KEY_PARTS of all rows, so there
 # are always fewer than HOT_KEY_PARTS hot keys, whatever the size of the data.
 HOT_KEY_PARTS = 1000
-SALT_PARTS = 4096
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -37,6 +37,18 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write a large result that several passes read, as a columnar table in
+    the checkpoint folder. Each pass then reads only its columns, and Spark
+    knows the size. The folder's own retention removes the table."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _match(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool) -> Column:
     condition = F.lit(True)
     for key in on:
@@ -93,9 +105,9 @@ def keyed_left_join(
 
     Hot keys (fewer than ``hot_parts`` by definition) are broadcast. All other
     rows are shuffled by key. Rows already answered by the broadcast, and rows
-    with a null key, are spread by a salt, so no task receives a hot group.
-    The salt uses row content and the partition id: both are the same when a
-    lost task is run again.
+    with a null key, would only pile up, so they are spread over the tasks by
+    the number of the partition they come from: that number is the same when a
+    lost task runs again, and costs no column.
     """
     values = [c for c in right.columns if c not in on and c != rows_per_key]
     total = right.agg(F.sum(rows_per_key)).scalar()
@@ -113,13 +125,14 @@ def keyed_left_join(
     if not null_safe:
         for key in on:
             answered = answered | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(SALT_PARTS)) + 1
-    salted = tagged.withColumn("__salt", F.when(answered, spread).otherwise(F.lit(0).cast("long")))
+    salted = tagged.withColumn("__from", F.spark_partition_id() + 1).withColumn(
+        "__salt", F.when(answered, F.col("__from")).otherwise(0)
+    )
 
     cold = right.filter(~is_hot).select(
         *[F.col(k).alias(f"__r_{k}") for k in on],
         *[F.col(v).alias(f"__cold_{v}") for v in values],
-        F.lit(0).cast("long").alias("__r_salt"),
+        F.lit(0).alias("__r_salt"),
     )
     condition = _match(salted, cold, on, null_safe) & (salted["__salt"] == cold["__r_salt"])
     joined = salted.join(cold, condition, "left")

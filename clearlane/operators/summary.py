@@ -91,8 +91,9 @@ def denied_now_approved(rollup: DataFrame) -> DataFrame:
     )
 
 
-def line_financials(lines: DataFrame, unit_cost: Column) -> DataFrame:
+def line_financials(lines: DataFrame, unit_cost: float | None) -> DataFrame:
     """Dollar effects per line; needs aa_yn, avg_hcp_cost and roi."""
+    unit_cost = F.lit(unit_cost).cast("double")
     aa, auto = F.col("aa_yn"), F.col("is_autoapp")
     loss = auto * (1 - aa) * unit_cost
     return lines.withColumns(
@@ -105,7 +106,7 @@ def line_financials(lines: DataFrame, unit_cost: Column) -> DataFrame:
     )
 
 
-def scored_line_financials(lines: DataFrame, decisions: DataFrame, unit_cost: Column) -> DataFrame:
+def scored_line_financials(lines: DataFrame, decisions: DataFrame, unit_cost: float | None) -> DataFrame:
     """Line financials from cleaned lines and decisions."""
     return line_financials(attach_referral_decision(score_lines(lines, decisions)), unit_cost)
 
@@ -131,7 +132,7 @@ def net_benefit(df: DataFrame) -> DataFrame:
 def specialty_summary(
     lines: DataFrame,
     decisions: DataFrame,
-    unit_cost: Column,
+    unit_cost: float | None,
     with_region: bool = False,
     staged: bool = False,
 ) -> DataFrame:
@@ -144,6 +145,7 @@ def specialty_summary(
     )
     aa, auto, n = F.col("aa_yn"), F.col("auto"), F.col("lines")
     counted = _complete(keys)
+    unit_cost = F.lit(unit_cost).cast("double")
 
     def total(amount: Column) -> Column:
         return F.coalesce(F.sum(amount), F.lit(0.0))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from clearlane import constants as K
 from clearlane.operators.costing import (
@@ -26,7 +25,7 @@ class Decisions:
     one line."""
 
     table: DataFrame
-    unit_cost: Column
+    unit_cost: float | None
 
 
 def analyse(
@@ -39,7 +38,7 @@ def analyse(
     their grouped profile is staged because both the unit cost and the groups
     come from it. ``unit_cost`` overrides the computed cost."""
     profile = stage(code_profile(lines))
-    cost = F.lit(unit_cost) if unit_cost is not None else profile_unit_cost(profile, department_cost)
+    cost = profile_unit_cost(profile, department_cost) if unit_cost is None else unit_cost
     return Decisions(review_roi(code_cost(known_groups(profile), claims), cost), cost)
 
 

@@ -24,7 +24,7 @@ from clearlane.operators import (
     rules,
     summary,
 )
-from clearlane.operators.staging import stage
+from clearlane.operators.staging import stage, stage_table
 from clearlane.plans.decisions import Decisions, analyse, decide
 from clearlane.sources import sinks, warehouse
 from querybook import sample as S
@@ -70,23 +70,28 @@ class Book(S.Sample):
     def clean(self, rules_=cleaning.RULES_C, window=S.REFERRAL_WINDOW) -> DataFrame:
         return cleaning.clean_referrals(self.lines(window), rules_)
 
+    @once
+    def stored(self, rules_=cleaning.RULES_C, window=S.REFERRAL_WINDOW) -> DataFrame:
+        """Cleaned lines for queries that pass over them more than once."""
+        return stage_table(self.clean(rules_, window))
+
     def analysed(self) -> Decisions:
         return analyse(self.clean(), self.claims(), S.DEPARTMENT_COST)
 
     def started(self) -> DataFrame:
         return overrides.start_decisions(self.analysed().table)
 
-    def plan(self, plan, sheets, rules_=cleaning.RULES_C, **options) -> Decisions:
+    def plan(self, plan, sheets, lines: DataFrame, **options) -> Decisions:
         options = {"department_cost": S.DEPARTMENT_COST, **options}
-        return decide(self.clean(rules_), self.claims(), plan, sheets, **options)
+        return decide(lines, self.claims(), plan, sheets, **options)
 
-    @once
-    def plan_c(self) -> Decisions:
-        return self.plan(overrides.PLAN_C, {"master": self.master()})
+    def plan_c(self, lines: DataFrame | None = None) -> Decisions:
+        return self.plan(overrides.PLAN_C, {"master": self.master()}, lines or self.clean())
 
     @once
     def scored(self) -> DataFrame:
-        return approval.assign_status(self.clean(), approval.allow_list(self.plan_c().table))
+        lines = self.stored()
+        return approval.assign_status(lines, approval.allow_list(self.plan_c(lines).table))
 
     def predictions_prepared(self) -> DataFrame:
         return evaluation.prepare_predictions(self.predictions())
@@ -277,12 +282,12 @@ def duplicate_decisions(b: Book) -> DataFrame:
 @query
 def decision_plan_a(b: Book) -> DataFrame:
     sheets = {f"sheet_{i}": b.sheet(1995 + i) for i in range(1, 5)}
-    return _decision_table(b.plan(overrides.PLAN_A, sheets, cleaning.RULES_A, unit_cost=10_000.0).table)
+    return _decision_table(b.plan(overrides.PLAN_A, sheets, b.clean(cleaning.RULES_A), unit_cost=10_000.0).table)
 
 
 @query
 def decision_plan_b(b: Book) -> DataFrame:
-    return _decision_table(b.plan(overrides.PLAN_B, {"sheet": b.sheet(2000)}).table)
+    return _decision_table(b.plan(overrides.PLAN_B, {"sheet": b.sheet(2000)}, b.clean()).table)
 
 
 @query
@@ -292,7 +297,7 @@ def decision_plan_c(b: Book) -> DataFrame:
 
 @query
 def decision_plan_m(b: Book) -> DataFrame:
-    return _decision_table(b.plan(overrides.PLAN_M, {"master": b.master()}, cleaning.RULES_M).table)
+    return _decision_table(b.plan(overrides.PLAN_M, {"master": b.master()}, b.clean(cleaning.RULES_M)).table)
 
 
 @query
@@ -391,16 +396,16 @@ def denied_now_approved(b: Book) -> DataFrame:
 
 @query
 def line_financials(b: Book) -> DataFrame:
-    decisions = b.plan_c()
-    lines = summary.scored_line_financials(b.clean(), decisions.table, decisions.unit_cost)
+    decisions = b.plan_c(b.stored())
+    lines = summary.scored_line_financials(b.stored(), decisions.table, decisions.unit_cost)
     kept = lines.select("auth_number", "specialty", "cpt_code", "is_ppl", "aa_yn", *summary.DOLLARS)
     return amounts(kept, *summary.DOLLARS)
 
 
 @query
 def specialty_financials(b: Book) -> DataFrame:
-    decisions = b.plan_c()
-    lines = summary.scored_line_financials(b.clean(), decisions.table, decisions.unit_cost)
+    decisions = b.plan_c(b.stored())
+    lines = summary.scored_line_financials(b.stored(), decisions.table, decisions.unit_cost)
     return totals(summary.specialty_financials(lines), *summary.DOLLARS)
 
 
@@ -408,8 +413,8 @@ SUMMARY_AMOUNTS = (*summary.DOLLARS, "deny_now_aa", "net_benefit", "net_benefit_
 
 
 def _summary(b: Book) -> DataFrame:
-    decisions = b.plan_c()
-    return summary.specialty_summary(b.clean(), decisions.table, decisions.unit_cost, staged=True)
+    decisions = b.plan_c(b.stored())
+    return summary.specialty_summary(b.stored(), decisions.table, decisions.unit_cost, staged=True)
 
 
 @query
@@ -444,8 +449,8 @@ def projected_code_rate(b: Book) -> DataFrame:
 
 @query
 def code_detail(b: Book) -> DataFrame:
-    decisions = b.plan_c().table
-    scored = approval.score_lines(b.clean(), decisions, staged=True)
+    decisions = b.plan_c(b.stored()).table
+    scored = approval.score_lines(b.stored(), decisions, staged=True)
     detail = summary.code_detail(decisions, summary.projected_code_rate(scored), b.names())
     return amounts(detail, *DECISION_ROUND)
 
@@ -488,7 +493,7 @@ def xtab_urgent(b: Book) -> DataFrame:
 
 @query
 def period_split(b: Book) -> DataFrame:
-    return period.period_split(b.clean()).select("auth_number", "cpt_code", "date_received", "post")
+    return period.period_split(b.stored()).select("auth_number", "cpt_code", "date_received", "post")
 
 
 @query
@@ -498,12 +503,12 @@ def period_bounds(b: Book) -> DataFrame:
 
 @query
 def period_summary(b: Book) -> DataFrame:
-    return amounts(period.period_summary(b.clean(), S.DEPARTMENT_COST), "cost_to_review")
+    return amounts(period.period_summary(b.stored(), S.DEPARTMENT_COST), "cost_to_review")
 
 
 def _comparison(b: Book) -> DataFrame:
     return period.period_compare(
-        b.clean(), b.claims(S.CLAIM_WINDOW), b.names(), b.master(), S.DEPARTMENT_COST
+        b.stored(), b.claims(S.CLAIM_WINDOW), b.names(), b.master(), S.DEPARTMENT_COST
     )
 
 
