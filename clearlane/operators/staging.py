@@ -125,17 +125,21 @@ def keyed_left_join(
     if not null_safe:
         for key in on:
             answered = answered | F.col(key).isNull()
-    salted = tagged.withColumn("__from", F.spark_partition_id() + 1).withColumn(
-        "__salt", F.when(answered, F.col("__from")).otherwise(0)
+    # part of the join key, so it decides where a row goes; computed on both
+    # sides, because a constant would be optimised out of the shuffle
+    routed = tagged.withColumn("__from", F.spark_partition_id().cast("long")).withColumn(
+        "__route", F.when(answered, F.col("__from")).otherwise(F.xxhash64(*on))
     )
 
+    types = {f.name: f.dataType for f in left.schema.fields}
+    keys = [F.col(k).cast(types[k]) for k in on]
     cold = right.filter(~is_hot).select(
-        *[F.col(k).alias(f"__r_{k}") for k in on],
+        *[key.alias(f"__r_{k}") for k, key in zip(on, keys, strict=True)],
         *[F.col(v).alias(f"__cold_{v}") for v in values],
-        F.lit(0).alias("__r_salt"),
+        F.xxhash64(*keys).alias("__r_route"),
     )
-    condition = _match(salted, cold, on, null_safe) & (salted["__salt"] == cold["__r_salt"])
-    joined = salted.join(cold, condition, "left")
+    condition = _match(routed, cold, on, null_safe) & (routed["__route"] == cold["__r_route"])
+    joined = routed.join(cold, condition, "left")
     return joined.select(
         *left.columns,
         *[

@@ -501,8 +501,12 @@ QUERIES: dict[str, str] = {}
 _MONEY = ("avg_hcp_cost", "cost_to_review", "sum_cost_denied", "roi")
 
 
+def _shift(digits: int) -> str:
+    return f"{0.123 * 10**-digits:.{digits + 3}f}"
+
+
 def _round(source: str, digits: int, *columns: str, exclude: str = "") -> str:
-    swaps = ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+    swaps = ", ".join(f"round({c} + {_shift(digits)}, {digits}) AS {c}" for c in columns)
     drop = f"EXCLUDE ({exclude}) " if exclude else ""
     return f"SELECT * {drop}REPLACE ({swaps}) FROM {source}"
 
@@ -525,8 +529,8 @@ _SUMMARY_MONEY = (
 
 
 def _summary_rounded(source: str) -> str:
-    rates = ", ".join(f"round({c}, 6) AS {c}" for c in ("new_rate", "old_rate"))
-    money = ", ".join(f"round({c}, 2) AS {c}" for c in _SUMMARY_MONEY)
+    rates = ", ".join(f"round({c} + 0.000000123, 6) AS {c}" for c in ("new_rate", "old_rate"))
+    money = ", ".join(f"round({c} + 0.00123, 2) AS {c}" for c in _SUMMARY_MONEY)
     return f"SELECT * REPLACE ({rates}, {money}) FROM {source}"
 
 
@@ -585,9 +589,9 @@ QUERIES |= {
                         WHERE is_autoapp = 0 AND specialty IS NOT NULL GROUP BY ALL""",
     "code_summary": "SELECT specialty, cpt_code, is_ppl, units, auto_rate, denial_rate, units_man FROM roi",
     "code_cost_fallback": """SELECT specialty, cpt_code, is_ppl, units, auto_rate, denial_rate,
-      units_man, cnt_hcp_cost, round(avg_hcp_cost, 4) AS avg_hcp_cost FROM roi""",
+      units_man, cnt_hcp_cost, round(avg_hcp_cost + 0.0000123, 4) AS avg_hcp_cost FROM roi""",
     "review_unit_cost": """SELECT CAST(sum(1 - is_autoapp) AS BIGINT) AS lines_man,
-      round((SELECT unit_cost FROM ga), 4) AS unit_cost FROM clean""",
+      round((SELECT unit_cost FROM ga) + 0.0000123, 4) AS unit_cost FROM clean""",
     "review_roi": _round("roi", 4, *_MONEY),
     "unmatched_counts": """SELECT count(*) FILTER (cost_to_review IS NULL) AS groups_without_review,
       count(*) FILTER (avg_hcp_cost IS NULL) AS groups_without_cost,
@@ -619,7 +623,7 @@ QUERIES |= {
     "referral_decision": "SELECT * FROM refs",
     "attach_referral_decision": """SELECT auth_number, specialty, cpt_code, auto_approvable, aa_yn
                                    FROM referred""",
-    "predicted_rate": "SELECT round(avg(aa_yn) - 0.04::DOUBLE, 6) AS predicted_rate FROM refs",
+    "predicted_rate": "SELECT round(avg(aa_yn) - 0.04::DOUBLE + 0.000000123, 6) AS predicted_rate FROM refs",
     "false_positives": """SELECT auth_number, specialty, cpt_code, date_received, status_name, is_den,
                           aa_yn FROM referred WHERE is_den = 1 AND aa_yn = 1""",
     "referral_lookup": """SELECT auth_number, specialty, cpt_code, status_name, date_received FROM clean
@@ -631,21 +635,21 @@ QUERIES |= {
       LIMIT 10""",
     "referral_rollup": "SELECT * FROM rollup",
     "referral_rollup_region": "SELECT * FROM rollup_region",
-    "specialty_rates": """SELECT specialty, count(aa_yn) AS ref_vol, round(avg(aa_yn), 6) AS new_rate,
-                          round(avg(is_autoapp), 6) AS old_rate FROM rollup GROUP BY specialty""",
-    "denied_now_approved": """SELECT specialty, round(coalesce(sum(is_den * aa_yn), 0), 2) AS deny_now_aa
+    "specialty_rates": """SELECT specialty, count(aa_yn) AS ref_vol, round(avg(aa_yn) + 0.000000123, 6) AS new_rate,
+                          round(avg(is_autoapp) + 0.000000123, 6) AS old_rate FROM rollup GROUP BY specialty""",
+    "denied_now_approved": """SELECT specialty, round(coalesce(sum(is_den * aa_yn), 0) + 0.00123, 2) AS deny_now_aa
                               FROM rollup GROUP BY specialty""",
     "line_financials": """
       SELECT auth_number, specialty, cpt_code, is_ppl, aa_yn,
-             round(dollars_denied_now_app, 4) AS dollars_denied_now_app,
-             round(cost_to_review_bene, 4) AS cost_to_review_bene,
-             round(cost_to_review_loss, 4) AS cost_to_review_loss,
-             round(new_denial_bene_est, 4) AS new_denial_bene_est FROM financials""",
+             round(dollars_denied_now_app + 0.0000123, 4) AS dollars_denied_now_app,
+             round(cost_to_review_bene + 0.0000123, 4) AS cost_to_review_bene,
+             round(cost_to_review_loss + 0.0000123, 4) AS cost_to_review_loss,
+             round(new_denial_bene_est + 0.0000123, 4) AS new_denial_bene_est FROM financials""",
     "specialty_financials": """
-      SELECT specialty, round(dollars_denied_now_app, 2) AS dollars_denied_now_app,
-             round(cost_to_review_bene, 2) AS cost_to_review_bene,
-             round(cost_to_review_loss, 2) AS cost_to_review_loss,
-             round(new_denial_bene_est, 2) AS new_denial_bene_est
+      SELECT specialty, round(dollars_denied_now_app + 0.00123, 2) AS dollars_denied_now_app,
+             round(cost_to_review_bene + 0.00123, 2) AS cost_to_review_bene,
+             round(cost_to_review_loss + 0.00123, 2) AS cost_to_review_loss,
+             round(new_denial_bene_est + 0.00123, 2) AS new_denial_bene_est
       FROM (SELECT specialty, coalesce(sum(dollars_denied_now_app), 0) AS dollars_denied_now_app,
                    coalesce(sum(cost_to_review_bene), 0) AS cost_to_review_bene,
                    coalesce(sum(cost_to_review_loss), 0) AS cost_to_review_loss,
@@ -657,7 +661,7 @@ QUERIES |= {
     "projected_code_rate": "SELECT * FROM code_rate",
     "code_detail": f"""
       SELECT p.specialty, p.cpt_code, p.is_ppl, p.units, p.auto_rate, p.denial_rate, p.units_man,
-             {', '.join(f'round(p.{c}, 4) AS {c}' for c in _MONEY)}, p.fin_aa_rec, p.dec_source,
+             {', '.join(f'round(p.{c} + 0.0000123, 4) AS {c}' for c in _MONEY)}, p.fin_aa_rec, p.dec_source,
              p.overrule_rsn, p.final_decision, r.new_rate, n.name AS cpt_desc
       FROM plan_c p LEFT JOIN code_rate r
         ON r.specialty = p.specialty AND r.cpt_code = p.cpt_code AND r.is_ppl = p.is_ppl
@@ -688,7 +692,7 @@ QUERIES |= {
     "period_split": "SELECT auth_number, cpt_code, date_received, post FROM halves",
     "period_bounds": "SELECT * FROM bounds",
     "period_summary": """SELECT *, round(CASE WHEN units_man > 0
-      THEN units_man * (SELECT unit_cost FROM period_ga) END, 4) AS cost_to_review FROM half_groups""",
+      THEN units_man * (SELECT unit_cost FROM period_ga) END + 0.0000123, 4) AS cost_to_review FROM half_groups""",
     "period_compare": _round("comparison", 4, "avg_hcp_cost", "roi", "roi_pre"),
     "high_volume_groups": """SELECT specialty, cpt_code, is_ppl, units, units_pre, vol_increase
                              FROM comparison WHERE units > 40""",
@@ -751,7 +755,7 @@ QUERIES |= {
                WHERE reason NOT IN ({_list(K.EXPECTED_REASONS)})
         UNION ALL SELECT 'duplicate_decision_keys', count(*), NULL, 1 FROM (
                SELECT 1 FROM decision_log GROUP BY specialty, cpt_code, is_ppl HAVING count(*) > 1))
-      SELECT "check", round(value, 2) AS value, round(lo, 2) AS lo, round(hi, 2) AS hi,
+      SELECT "check", round(value + 0.00123, 2) AS value, round(lo + 0.00123, 2) AS lo, round(hi + 0.00123, 2) AS hi,
              (lo IS NULL OR value > lo) AND (hi IS NULL OR value < hi) AS passed FROM raw""",
     "rule_table": f"""
       WITH pairs AS (
