@@ -57,6 +57,9 @@ def rates(df: DataFrame, *columns: str) -> DataFrame:
     return rounded(df, 6, *columns)
 
 
+UNUSED_AFTER_CLEANING = ("ref_type_key", "ppl", "date_decision", "status_cat", "lob")
+
+
 class Book(S.Sample):
     """Steps that several queries share."""
 
@@ -74,8 +77,14 @@ class Book(S.Sample):
 
     @once
     def stored(self, rules_=cleaning.RULES_C, window=S.REFERRAL_WINDOW) -> DataFrame:
-        """Cleaned lines for queries that pass over them more than once."""
-        return stage_table(self.clean(rules_, window))
+        """Cleaned lines for queries that pass over them more than once, with
+        the columns these queries use."""
+        return stage_table(self.clean(rules_, window).drop(*UNUSED_AFTER_CLEANING))
+
+    @once
+    def master(self) -> DataFrame:
+        """The decision sheet as a stored table, as it is in practice."""
+        return stage(super().master())
 
     def analysed(self) -> Decisions:
         return analyse(self.clean(), self.claims(), S.DEPARTMENT_COST)
@@ -100,9 +109,9 @@ class Book(S.Sample):
 
     @once
     def evaluated(self) -> DataFrame:
-        return evaluation.with_decisions(
-            evaluation.confidence_decile(self.predictions_prepared()), self.master()
-        )
+        """Candidates are read for the quantile edges and again for the rest."""
+        candidates = stage_table(self.predictions_prepared().drop("ref_to_status", "dt_prediction"))
+        return evaluation.with_decisions(evaluation.confidence_decile(candidates), self.master())
 
     @once
     def costs(self) -> DataFrame:
@@ -544,9 +553,8 @@ def predictions_prepared(b: Book) -> DataFrame:
 
 @query
 def confidence_decile(b: Book) -> DataFrame:
-    return evaluation.confidence_decile(b.predictions_prepared()).select(
-        "referral_ident", "px_code", "confidence", "decile"
-    )
+    candidates = stage_table(b.predictions_prepared().select("referral_ident", "px_code", "confidence"))
+    return evaluation.confidence_decile(candidates)
 
 
 @query
