@@ -74,7 +74,7 @@ if __name__ == "__main__":
     con = connect(sf)
     oracle = oracle_sql()
     for name, fn in queries().items():
-        if wanted and name not in wanted:
+        if name not in oracle or wanted and name not in wanted:
             continue
         try:
             text, n, sec = differences(spark, con, sf, name, fn, oracle[name])

