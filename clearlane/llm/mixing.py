@@ -185,3 +185,18 @@ def mix_sources(
         .select(F.col("doc").alias("doc_id"), "size", "source_size", "target", copies.alias("copies"))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
     )
+
+
+def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` as often as ``mixed``, their mixture, takes them.
+
+    Rows that share an id are all taken as often as the one of them that is
+    taken most, and so are rows without an id.
+    """
+    times = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_times"))
+    return (
+        docs.join(times, docs[id_col].eqNullSafe(times["mixed_id"]))
+        .filter("mixed_times > 0")
+        .withColumn("mixed_times", F.explode(F.expr("sequence(1, mixed_times)")))
+        .select(*[docs[c] for c in docs.columns])
+    )

@@ -59,3 +59,32 @@ FROM sized LEFT JOIN comp ON comp.doc_id = sized.doc_id
 """
 
 URLS = urlfilter.oracle_sql()
+
+LINES = rf"""
+WITH l AS (
+    SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS raw
+    FROM documents WHERE length(text) > 0
+),
+s AS (SELECT doc_id, i, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l),
+m AS (
+    SELECT doc_id, i, list_transform(regexp_split_to_array(line, '[ \t\r\x0B\x0C]+'),
+        lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w
+    FROM s WHERE line <> ''
+),
+p AS (
+    SELECT doc_id, i, 'w ' || len(w) || ' ' || array_to_string(w, ' ') AS t FROM m
+    UNION ALL SELECT doc_id, i, 'a ' || len(w) || ' ' || array_to_string(w[1:len(w) // 2], ' ') FROM m WHERE len(w) >= 8
+    UNION ALL SELECT doc_id, i, 'b ' || len(w) || ' ' || array_to_string(w[1:3], ' ') || ' ' || array_to_string(w[len(w) // 2 + 1:], ' ')
+        FROM m WHERE len(w) >= 8
+),
+often AS (SELECT t FROM (SELECT DISTINCT doc_id, t FROM p) GROUP BY t HAVING count(*) >= 10),
+gone AS (SELECT DISTINCT doc_id, i FROM p JOIN often USING (t)),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(raw, chr(10) ORDER BY i) AS k
+    FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+),
+total AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesce(n, 0) AS n_dropped,
+    sha256(coalesce(k, '')) AS kept_sha256
+FROM documents d LEFT JOIN total ON total.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -6,8 +6,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from clearlane.llm import minhash, mixing, oracle, sharding, simhash, substring, urlfilter
+from pyspark.sql import functions as F
+
+from clearlane.llm import (
+    decontaminate,
+    kneser_ney,
+    licenses,
+    lines,
+    minhash,
+    mixing,
+    oracle,
+    sharding,
+    simhash,
+    substring,
+    urlfilter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +33,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are the files of a tree: source / language / id."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +47,14 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_template_lines(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -40,19 +67,28 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_license_scan,
         op3_minhash_near_dedup,
         op4_document_fingerprints,
+        op5_line_dedup,
+        op6_decontamination,
         op7_mixing,
         op8_url_filter,
         op9_sharding,
+        op10_quality,
     )
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": oracle.SUBSTRING,
     "op3_minhash_near_dedup": oracle.NEAR,
+    "op5_line_dedup": oracle.LINES,
     "op8_url_filter": oracle.URLS,
 }
