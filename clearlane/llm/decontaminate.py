@@ -39,8 +39,11 @@ STEP = 16
 AROUND = 40
 RANK = 256
 OVERSAMPLING = 16
-# words in more than this share of documents are left out of the vectors
+# words in more than this share of documents, and in more than ``FEW``, are left
+# out of the vectors, but for the rarest words of each item
 COMMON = 0.02
+FEW = 20
+RAREST = 8
 MIN_TERMS = 2
 COSINE = 0.4
 # an item is there if so much of it is, in order
@@ -214,7 +217,7 @@ def lcs(item: np.ndarray, text: np.ndarray) -> int:
         places[word] = places.get(word, 0) | 1 << i
     full = (1 << len(item)) - 1
     rest = full
-    for word in text.tolist():
+    for word in text[text >= 0].tolist():
         here = rest & places.get(word, 0)
         rest = ((rest + here) | (rest - here)) & full
     return len(item) - rest.bit_count()
@@ -260,7 +263,9 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 def _block_leaks(base: DataFrame, ids: list[int], texts: list[str], answers: list[str | None]) -> DataFrame | None:
     context = base.sparkSession.sparkContext
-    vocabulary = vocabulary_of(texts)
+    vocabulary = vocabulary_of([*texts, *[a or "" for a in answers]])
+    given = vocabulary.items[len(texts) :]
+    vocabulary.items = vocabulary.items[: len(texts)]
     if not len(vocabulary.hashes):
         return None
     counted = base.mapInArrow(
@@ -271,13 +276,13 @@ def _block_leaks(base: DataFrame, ids: list[int], texts: list[str], answers: lis
     frequency = np.zeros(len(vocabulary.hashes))
     for term, n in found.items():
         frequency[term] = n
-    weight = np.log((1 + docs) / (1 + frequency)) + 1e-9
-    common = frequency > COMMON * docs
-    # where all words of an item are common, they have to do
-    vocabulary.weight = np.where(common, 0.0, weight)
+    weight = np.log((1 + docs) / (1 + frequency)) + 1
+    weighs = frequency <= max(FEW, COMMON * docs)
     for item in vocabulary.items:
-        if len(item) and (vocabulary.weight[np.unique(item)] > 0).sum() < MIN_TERMS:
-            vocabulary.weight[item] = weight[item]
+        own = np.unique(item)
+        own = own[frequency[own] > 0]  # others cannot match
+        weighs[own[np.argsort(frequency[own], kind="stable")[:RAREST]]] = True
+    vocabulary.weight = np.where(weighs, weight, 0.0)
     basis = latent_basis(base, vocabulary)
     row, term, value = item_vectors(vocabulary)
     rows, at = np.unique(row, return_inverse=True)
@@ -285,10 +290,7 @@ def _block_leaks(base: DataFrame, ids: list[int], texts: list[str], answers: lis
     latent[rows] = _times(at, term, value, len(rows), basis)
     length = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, length, out=np.zeros_like(latent), where=length > 0)
-    answer_words = []
-    for text, item, answer in zip(texts, vocabulary.items, answers, strict=True):
-        given = T.words(pa.array([answer or ""]), lower=True)
-        answer_words.append(vocabulary.number(given.hashes()) if given.n else item[-ANSWER_WORDS:])
+    answer_words = [a if len(a) else item[-ANSWER_WORDS:] for a, item in zip(given, vocabulary.items, strict=True)]
     shared = context.broadcast((vocabulary, basis, latent, ids, answer_words))
     schema = "doc_id long, item_id long, word int, lcs double, answered boolean"
     return base.mapInArrow(partial(_search, shared=shared), schema)

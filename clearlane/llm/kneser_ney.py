@@ -15,7 +15,9 @@ starts with a border. With ``ORDER`` symbols an n-gram is a number below
   because of that bound it is broadcast: scoring is then one pass over the
   documents without a shuffle of texts.
 * A document is rejected if its perplexity is outside the quantiles of the
-  trusted documents of its language.
+  trusted documents of its language. A model knows its own training text too
+  well, so the trusted documents are halved, and each half is scored by a model
+  of the other one.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearlane.llm import tokens as T
@@ -36,8 +38,8 @@ SYMBOLS = 40
 LANGUAGES = 16
 # trusted documents of a language that may lie below and above its limits
 LOW, HIGH = 0.0005, 0.995
-# a document is rejected only if it is this far beyond a limit, in nats for
-# each symbol; more for short documents, whose mean varies more
+# allowance in nats for each symbol: for every document, and over the root of its
+# length
 SLACK = 0.03
 SLACK_ROOT = 3.0
 OTHER = "*"  # the model of all languages together
@@ -83,42 +85,58 @@ def symbol_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, code, n) of a task; a row for each n-gram and language it has."""
-    totals: dict[str | None, np.ndarray] = {}
-    waiting: dict[str | None, list[np.ndarray]] = {}
+    """(lang, half, code, n) of a task; a row for each n-gram it has."""
+    totals: dict[tuple, np.ndarray] = {}
+    waiting: dict[tuple, list[np.ndarray]] = {}
 
-    def add(lang: str | None) -> None:
-        counted = np.bincount(np.concatenate(waiting.pop(lang)), minlength=SYMBOLS**ORDER)
-        totals[lang] = totals[lang] + counted if lang in totals else counted
+    def add(key: tuple) -> None:
+        counted = np.bincount(np.concatenate(waiting.pop(key)), minlength=SYMBOLS**ORDER)
+        totals[key] = totals[key] + counted if key in totals else counted
 
     for batch in T.slices(batches, "text"):
         code, offsets = symbol_codes(batch.column("text"))
-        langs = np.asarray(batch.column("lang").to_pylist(), object)
-        for lang in {*langs.tolist()}:
-            mine = np.asarray([x == lang for x in langs.tolist()])
-            parts = waiting.setdefault(lang, [])
+        keys = list(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True))
+        for key in {*keys}:
+            mine = np.asarray([x == key for x in keys])
+            parts = waiting.setdefault(key, [])
             parts.append(code[np.repeat(mine, np.diff(offsets))])
             if sum(map(len, parts)) > COUNT_AT_ONCE:
-                add(lang)
-    for lang in list(waiting):
-        add(lang)
-    for lang, counted in totals.items():
+                add(key)
+    for key in list(waiting):
+        add(key)
+    for (lang, half), counted in totals.items():
         seen = np.flatnonzero(counted)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(counted[seen], pa.int64())],
-            names=["lang", "code", "n"],
+            [
+                pa.array([lang] * len(seen), pa.string()),
+                pa.array([half] * len(seen), pa.int32()),
+                pa.array(seen, pa.int64()),
+                pa.array(counted[seen], pa.int64()),
+            ],
+            names=["lang", "half", "code", "n"],
         )
 
 
+def _half(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(2)).cast("int")
+
+
 def ngram_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, code, n) over all trusted documents: each of the ``LANGUAGES``
-    languages with most of them, and ``OTHER`` for all together."""
+    """(lang, code, n) over the trusted documents (doc_id, text, lang), for each
+    of the ``LANGUAGES`` - 1 languages with most of them and for ``OTHER``, all
+    together. ``lang`` also says which documents: ``en`` all of them, ``en 0``
+    and ``en 1`` one half."""
     sized = trusted.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     named = [r["lang"] for r in sized.orderBy(F.desc("docs"), "lang").limit(LANGUAGES - 1).collect()]
     lang = F.when(F.col("lang").isin(named), F.col("lang")) if named else F.lit(None).cast("string")
-    counted = trusted.select("text", lang.alias("lang")).mapInArrow(_count, "lang string, code long, n long")
-    pooled = counted.select(F.explode(F.array("lang", F.lit(OTHER))).alias("lang"), "code", "n").filter("lang IS NOT NULL")
-    return pooled.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = trusted.select("text", lang.alias("lang"), _half("doc_id").alias("half")).mapInArrow(
+        _count, "lang string, half int, code long, n long"
+    )
+    halves = counted.groupBy("lang", "half", "code").agg(F.sum("n").alias("n"))
+    every = halves.select(F.explode(F.array("lang", F.lit(OTHER))).alias("lang"), "half", "code", "n").filter("lang IS NOT NULL")
+    of_half = F.concat_ws(" ", "lang", F.col("half").cast("string"))
+    each = every.select(F.explode(F.array("lang", of_half)).alias("lang"), "code", "n")
+    return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,56 +180,53 @@ def model_rows(counts: DataFrame) -> DataFrame:
     return rows
 
 
-def dense_model(rows: list) -> dict[str, np.ndarray]:
-    """For each language, minus the log probability of every n-gram. Unseen
+def dense_model(rows: pa.Table) -> dict[str, np.ndarray]:
+    """For each model, minus the log probability of every n-gram. Unseen
     n-grams have the lower order's probability times the context's rest."""
-    by_lang: dict[str, dict] = {}
-    for k, lang, code, share, rest in rows:
-        kept = by_lang.setdefault(lang, {}).setdefault(k, ([], [], [], []))
-        if share is not None:
-            kept[0].append(code)
-            kept[1].append(share)
-        else:
-            kept[2].append(code)
-            kept[3].append(rest)
+    k, code = rows["k"].to_numpy(), rows["code"].to_numpy()
+    share, rest = rows["share"].to_numpy(), rows["rest"].to_numpy()  # null is NaN
+    names, lang = np.unique(rows["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
     models = {}
-    for lang, orders in by_lang.items():
+    for number, name in enumerate(names.tolist()):
         lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-        for k in range(1, ORDER + 1):
-            codes, shares, contexts, rests = orders[k]
-            rest = np.ones(SYMBOLS ** (k - 1))
-            rest[np.asarray(contexts, int)] = rests
-            if k == 1:
-                table = rest[0] * lower
+        for order in range(1, ORDER + 1):
+            own = (lang == number) & (k == order)
+            context, seen = own & ~np.isnan(rest), own & ~np.isnan(share)
+            left = np.ones(SYMBOLS ** (order - 1))
+            left[code[context]] = rest[context]
+            if order == 1:
+                table = left[0] * lower
             else:
                 # n-gram w1..wk has the lower order n-gram w2..wk
-                table = (rest.reshape(SYMBOLS, -1)[:, :, None] * lower.reshape(1, -1, SYMBOLS)).reshape(-1)
-            table[np.asarray(codes, int)] += shares
+                table = (left.reshape(SYMBOLS, -1)[:, :, None] * lower.reshape(1, -1, SYMBOLS)).reshape(-1)
+            table[code[seen]] += share[seen]
             lower = table
-        models[lang] = -np.log(lower).astype(np.float32)
+        models[name] = -np.log(lower).astype(np.float32).astype(np.float16)
     return models
 
 
 def _score(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
+    """Mean loss of each document under its language's model, and under that of
+    the half of the trusted documents that it is not in."""
     tables = models.value
     for batch in T.slices(batches, "text"):
         code, offsets = symbol_codes(batch.column("text"))
         n = np.diff(offsets)
-        total = np.zeros(len(n))
-        langs = batch.column("lang").to_pylist()
-        keys = np.asarray([x if x in tables else OTHER for x in langs], object)
-        for key in {*keys.tolist()} & set(tables):
-            docs = np.flatnonzero((keys == key) & (n > 0))
-            if not len(docs):
-                continue
-            own = np.zeros(len(n), bool)
-            own[docs] = True
-            loss = tables[key][code[np.repeat(own, n)]].astype(np.float64)
-            total[docs] = np.add.reduceat(loss, np.cumsum(n[docs]) - n[docs])
-        mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
+        langs = [x if x in tables else OTHER for x in batch.column("lang").to_pylist()]
+        others = [f"{x} {1 - h}" for x, h in zip(langs, batch.column("half").to_pylist(), strict=True)]
+        means = []
+        for names in (langs, others):
+            total = np.zeros(len(n))
+            names = np.asarray([x if x in tables else OTHER for x in names])
+            for name in {*names.tolist()}:
+                docs = np.flatnonzero((names == name) & (n > 0))
+                if len(docs):
+                    loss = tables[name][code[np.repeat((names == name) & (n > 0), n)]].astype(np.float64)
+                    total[docs] = np.add.reduceat(loss, np.cumsum(n[docs]) - n[docs])
+            means.append(pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), pa.array(keys.tolist(), pa.string()), pa.array(n.astype(np.int64)), pa.array(mean)],
-            names=["doc_id", "lang", "model", "n_symbols", "nats"],
+            [batch.column("doc_id"), batch.column("lang"), pa.array(langs, pa.string()), pa.array(n.astype(np.int64)), *means],
+            names=["doc_id", "lang", "model", "n_symbols", "nats", "held_out"],
         )
 
 
@@ -242,21 +257,31 @@ def judge_quality(
     trusted_ids = labels.filter(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
     trusted = base.join(trusted_ids, "doc_id", "left_semi").filter("length(text) > 0")
     counts = stage(ngram_counts(trusted))
-    rows = [tuple(r) for r in model_rows(counts).collect()]  # bounded, see above
-    if not rows:
+    rows = model_rows(counts).toArrow()  # bounded, see above
+    if not rows.num_rows:
         nothing = F.lit(None).cast("double")
         n = F.lit(None).cast("long")
         return base.select("doc_id", "lang", n.alias("n_symbols"), nothing.alias("perplexity"), nothing.alias("lowest"), nothing.alias("highest"), F.lit(True).alias("kept"))
     models = docs.sparkSession.sparkContext.broadcast(dense_model(rows))
     scored = stage_table(
-        base.mapInArrow(partial(_score, models=models), "doc_id long, lang string, model string, n_symbols long, nats double")
+        base.withColumn("half", _half("doc_id")).mapInArrow(
+            partial(_score, models=models),
+            "doc_id long, lang string, model string, n_symbols long, nats double, held_out double",
+        )
     )
     reference = scored.join(trusted_ids, "doc_id", "left_semi").filter("n_symbols > 0")
-    every = reference.select(F.explode(F.array_distinct(F.array("model", F.lit(OTHER)))).alias("model"), "nats")
+    # the mean of a short document varies more; its allowance is taken off
+    # before the quantiles, and given back to the judged document
+    own = F.lit(SLACK_ROOT) / F.sqrt(F.col("n_symbols") + 1)
+    every = reference.select(
+        F.explode(F.array_distinct(F.array("model", F.lit(OTHER)))).alias("model"),
+        (F.col("held_out") + own).alias("above"),
+        (F.col("held_out") - own).alias("below"),
+    )
     limits = every.groupBy("model").agg(
-        F.percentile_approx("nats", low, 100_000).alias("lo"), F.percentile_approx("nats", high, 100_000).alias("hi")
+        F.percentile_approx("above", low, 100_000).alias("lo"), F.percentile_approx("below", high, 100_000).alias("hi")
     )
-    slack = F.lit(SLACK) + F.lit(SLACK_ROOT) / F.sqrt(F.col("n_symbols") + 1)
+    slack = own + F.lit(SLACK)
     # at most LANGUAGES rows
     judged = scored.join(F.broadcast(limits), "model", "left")
     fits = (F.col("n_symbols") == 0) | F.col("nats").between(F.col("lo") - slack, F.col("hi") + slack)

@@ -29,13 +29,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearlane.llm import tokens as T
+from clearlane.operators.staging import stage_table
 
 WINDOW = 50
 ANCHOR = 11
+KEY = ["doc_id", "part"]
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,16 +73,15 @@ def _phrases(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
         stop = last[np.searchsorted(np.flatnonzero(new), edge)]
         stop = np.minimum(stop, w.first[1:][doc[edge]] - window + 1)
         phrase = T.mix(T.Rolling(g, T.BASES[2]).of(edge, stop + window - 1) + (stop - edge).astype(np.uint64))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(T.signed(low[edge])),
                 pa.array(T.signed(phrase)),
-                pa.array(ids[doc[edge]]),
+                *[batch.column(c).take(pa.array(doc[edge])) for c in KEY],
                 pa.array((edge - w.first[doc[edge]]).astype(np.int32)),
                 pa.array((stop - edge).astype(np.int32)),
             ],
-            names=["anchor", "phrase", "doc_id", "at", "n"],
+            names=["anchor", "phrase", "doc_id", "part", "at", "n"],
         )
 
 
@@ -93,7 +95,7 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in T.slices(batches, "text"):
         w = T.words(batch.column("text"))
-        spans = batch.column("open")
+        spans = pc.fill_null(batch.column("open"), pa.scalar([], batch.column("open").type))
         sizes = np.diff(spans.offsets.to_numpy())
         flat = spans.flatten()
         owner = np.repeat(np.arange(batch.num_rows), sizes)
@@ -104,15 +106,14 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
             continue
         owner = np.repeat(owner, n)
         g = w.hashes()
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(T.signed(T.Rolling(g, T.BASES[1]).of(at, at + window))),
                 pa.array(T.signed(T.Rolling(g, T.BASES[2]).of(at, at + window))),
-                pa.array(ids[owner]),
+                *[batch.column(c).take(pa.array(owner)) for c in KEY],
                 pa.array((at - w.first[owner]).astype(np.int32)),
             ],
-            names=["w1", "w2", "doc_id", "at"],
+            names=["w1", "w2", "doc_id", "part", "at"],
         )
 
 
@@ -148,7 +149,10 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], with_text: bool) -
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    """``part`` tells rows apart that share an id but not the text."""
+    return docs.select(
+        docs[id_col].cast("long").alias("doc_id"), F.hash(docs[text_col]).alias("part"), docs[text_col].alias("text")
+    )
 
 
 def duplicate_spans(
@@ -159,12 +163,15 @@ def duplicate_spans(
     of every window that starts in a document with a smaller id.
 
     Rows without an id are nobody's reference and have no spans. Rows that
-    share an id count as one document's parts and do not repeat each other.
+    share an id do not repeat each other; ``part``, a hash of the text, tells
+    them apart.
     """
-    base = _base(docs, id_col, text_col)
-    texts = base.filter(F.col("doc_id").isNotNull())
-    phrases = texts.filter(F.length("text") >= 2 * window - 1).mapInArrow(
-        partial(_phrases, window=window, anchor=anchor), "anchor long, phrase long, doc_id long, at int, n int"
+    return _spans(_base(docs, id_col, text_col), window, anchor)
+
+
+def _spans(base: DataFrame, window: int, anchor: int) -> DataFrame:
+    phrases = base.filter(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * window - 1)).mapInArrow(
+        partial(_phrases, window=window, anchor=anchor), "anchor long, phrase long, doc_id long, part int, at int, n int"
     )
     index = phrases.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("uses"))
     shared = (
@@ -180,15 +187,19 @@ def duplicate_spans(
         .withColumn("taken", F.coalesce(F.col("earliest") < F.col("doc_id"), F.lit(False)))
         .filter("taken OR forms > 1")
     )
-    piece = F.struct("at", "n")
-    per_doc = factors.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("taken"), F.struct(F.col("at").alias("first"), (F.col("n") + (window - 1)).alias("n")))).alias("taken"),
-        F.collect_list(F.when(~F.col("taken"), piece)).alias("open"),
+    whole = F.struct(F.col("at").alias("first"), (F.col("n") + (window - 1)).alias("n"))
+    # a row that stands twice in the table has each of its pieces once
+    per_doc = stage_table(
+        factors.groupBy(*KEY).agg(
+            F.collect_set(F.when(F.col("taken"), whole)).alias("taken"),
+            F.collect_set(F.when(~F.col("taken"), F.struct("at", "n"))).alias("open"),
+        )
     )
+    # both passes over the texts read the same shuffle, so neither filters it
     boundary = (
-        texts.join(per_doc.filter(F.size("open") > 0).hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "text", "open")
-        .mapInArrow(partial(_boundary_windows, window=window), "w1 long, w2 long, doc_id long, at int")
+        base.join(per_doc.select(*KEY, "open").hint("shuffle_hash"), KEY, "left")
+        .select(*KEY, "text", "open")
+        .mapInArrow(partial(_boundary_windows, window=window), "w1 long, w2 long, doc_id long, part int, at int")
     )
     earliest = (
         boundary.groupBy("w1", "w2")
@@ -198,13 +209,13 @@ def duplicate_spans(
     found = (
         boundary.join(earliest, ["w1", "w2"])
         .filter("earliest < doc_id")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct(F.col("at").alias("first"), F.lit(window).alias("n"))).alias("spans"))
+        .groupBy(*KEY)
+        .agg(F.collect_set(F.struct(F.col("at").alias("first"), F.lit(window).alias("n"))).alias("spans"))
     )
-    whole = per_doc.filter(F.size("taken") > 0).select("doc_id", F.col("taken").alias("spans"))
-    both = whole.join(found.withColumnRenamed("spans", "more"), "doc_id", "full")
+    taken = per_doc.filter(F.size("taken") > 0).select(*KEY, F.col("taken").alias("spans"))
+    both = taken.join(found.withColumnRenamed("spans", "more"), KEY, "full")
     none = F.array().cast("array<struct<first:int,n:int>>")
-    return both.select("doc_id", F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"))
+    return both.select(*KEY, F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"))
 
 
 def remove_repeats(
@@ -221,12 +232,11 @@ def remove_repeats(
     shorter than ``window`` words are kept whole. A row without an id keeps all
     words. Other columns of the input are ignored.
     """
-    spans = duplicate_spans(docs, id_col, text_col, window)
+    base = _base(docs, id_col, text_col)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return (
-        _base(docs, id_col, text_col)
-        .join(spans.hint("shuffle_hash"), "doc_id", "left")
+        base.join(_spans(base, window, ANCHOR).hint("shuffle_hash"), KEY, "left")
         .select("doc_id", "text", "spans")
         .mapInArrow(partial(_cut, names=names, with_text=with_text), schema)
     )

@@ -92,7 +92,7 @@ def test_answers_nulls_repeats_and_empty_tables(spark):
     got = decontaminate.leaks(documents(spark, texts, ids), bench, answer_col="answer").collect()
     assert {(r.doc_id, r.item_id, round(r.lcs, 3), r.answered) for r in got} == {(20, 1, 1.0, False), (None, 1, 1.0, False)}
     half = " ".join(item.split()[:11])
-    docs = documents(spark, [half + " forty two", half])
+    docs = documents(spark, [half + " forty two", half, *[" ".join(prose((8, i), 30)) for i in range(20)]])
     assert pairs(decontaminate.leaks(docs, bench, answer_col="answer")) == {(0, 1)}
     assert decontaminate.leaks(docs.limit(0), bench).collect() == []
     assert decontaminate.leaks(docs, bench.limit(0).select("item_id", "text")).collect() == []

@@ -11,7 +11,7 @@ def fingerprint(text):
     """Spark's hash of two strings is the hash of the second, seeded by that of the first."""
     ws = words(text)
     votes = [0] * 64
-    for a, b in zip(ws, [*ws[1:], None], strict=True):
+    for a, b in zip(ws, [*ws[1:], None], strict=False):
         h = xxhash.xxh64_intdigest(a.encode(), 42)
         h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
         for i in range(64):
