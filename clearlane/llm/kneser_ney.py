@@ -16,8 +16,8 @@ starts with a border. With ``ORDER`` symbols an n-gram is a number below
   documents without a shuffle of texts.
 * A document is rejected if its perplexity is outside the quantiles of the
   trusted documents of its language. A model knows its own training text too
-  well, so the trusted documents are halved, and each half is scored by a model
-  of the other one.
+  well, so for the upper limit the trusted documents are halved, and each half
+  is scored by a model of the other one.
 """
 
 from __future__ import annotations
@@ -275,7 +275,7 @@ def judge_quality(
     own = F.lit(SLACK_ROOT) / F.sqrt(F.col("n_symbols") + 1)
     every = reference.select(
         F.explode(F.array_distinct(F.array("model", F.lit(OTHER)))).alias("model"),
-        (F.col("held_out") + own).alias("above"),
+        (F.col("nats") + own).alias("above"),
         (F.col("held_out") - own).alias("below"),
     )
     limits = every.groupBy("model").agg(
