@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clearlane import constants as K
 from clearlane.functions.columns import flag, not_in_list
 from clearlane.operators.costing import GROUP
-from clearlane.operators.staging import BROADCAST_ROW_LIMIT, bounded_left_join, keyed_left_join
+from clearlane.operators.staging import bounded_left_join, keyed_left_join
 
 REFERRAL = ("auth_number",)
 
@@ -43,11 +43,10 @@ def assign_status(
     lines: DataFrame,
     allowed: DataFrame,
     pend_types: Sequence[str] = K.PEND_REFERRAL_TYPES,
-    row_limit: int = BROADCAST_ROW_LIMIT,
 ) -> DataFrame:
     """``auto_approvable`` per line for any allow-list."""
     marked = allowed.select("specialty", "cpt_code").distinct().withColumn("__listed", F.lit(True))
-    joined = bounded_left_join(lines, marked, ["specialty", "cpt_code"], row_limit=row_limit)
+    joined = bounded_left_join(lines, marked, ["specialty", "cpt_code"])
     return joined.withColumn(
         "auto_approvable", _approvable(F.col("__listed").isNotNull(), pend_types)
     ).drop("__listed")
@@ -57,13 +56,12 @@ def score_lines(
     lines: DataFrame,
     decisions: DataFrame,
     pend_types: Sequence[str] = K.PEND_REFERRAL_TYPES,
-    row_limit: int = BROADCAST_ROW_LIMIT,
     staged: bool = False,
 ) -> DataFrame:
     """``auto_approvable`` together with cost and return of the line's group,
     in one join with the decisions."""
     lookup = decisions.select(*GROUP, "avg_hcp_cost", "roi", F.col("final_decision").alias("__final"))
-    joined = bounded_left_join(lines, lookup, list(GROUP), row_limit=row_limit, staged=staged)
+    joined = bounded_left_join(lines, lookup, list(GROUP), staged=staged)
     listed = F.coalesce(F.col("__final") == 1, F.lit(False))
     return joined.withColumn("auto_approvable", _approvable(listed, pend_types)).drop("__final")
 

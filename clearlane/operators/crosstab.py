@@ -9,6 +9,7 @@ no cell and no margin. Empty cells have no row, except where stated.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,19 +62,49 @@ def referrals_by_decision(referrals: DataFrame) -> DataFrame:
     )
 
 
-def _lines_with_decision(lines: DataFrame, *keys: str) -> DataFrame:
-    """Lines counted per referral and ``keys``, with the referral's decision:
-    the cross-tabs of lines by new decision need no join of the decision back
-    to each line. A referral number shared by many lines is a few rows here."""
-    counted = lines.groupBy("auth_number", *keys).agg(
-        F.count("units").alias("units"),
-        F.count("cpt_code").alias("codes"),
-        F.count("auth_number").alias("numbers"),
-        F.min("auto_approvable").alias("__least"),
+def _lines_with_decision(lines: DataFrame, *flags: str) -> DataFrame:
+    """Lines counted per referral and values of the 0/1 columns ``flags``, with
+    the referral's decision. One grouping by referral counts every combination
+    of flags, so there is one shuffle, combined before it, and a referral number
+    shared by many lines is one row. Lines without a number have no decision."""
+    values = list(product((0, 1), repeat=len(flags)))
+
+    def cell(chosen: Sequence[int]) -> Column:
+        here = F.lit(True)
+        for name, value in zip(flags, chosen, strict=True):
+            here = here & (F.col(name).cast("int") == value)
+        return here
+
+    measures = {"units": "units", "codes": "cpt_code", "numbers": "auth_number"}
+    counted = (
+        lines.filter(F.col("auth_number").isNotNull())
+        .groupBy("auth_number")
+        .agg(
+            F.min("auto_approvable").alias("aa_yn"),
+            *[
+                F.struct(
+                    *[F.lit(v).alias(f) for f, v in zip(flags, chosen, strict=True)],
+                    *[F.count(F.when(cell(chosen), F.col(c))).alias(m) for m, c in measures.items()],
+                ).alias(f"cell_{i}")
+                for i, chosen in enumerate(values)
+            ],
+        )
+    )
+    each = counted.select("aa_yn", F.explode(F.array(*[f"cell_{i}" for i in range(len(values))])).alias("c"))
+    # a combination that a referral does not have is no cell
+    return each.filter("c.numbers > 0").select("aa_yn", "c.*")
+
+
+def _lines_by_value(lines: DataFrame, key: str) -> DataFrame:
+    """The same for a column with any values: counted per referral and value
+    first, so the rows that meet for the decision are few."""
+    counted = (
+        lines.filter(F.col("auth_number").isNotNull())
+        .groupBy("auth_number", key)
+        .agg(F.count(F.lit(1)).alias("numbers"), F.min("auto_approvable").alias("__least"))
     )
     whole = Window.partitionBy("auth_number")
-    known = F.when(F.col("auth_number").isNotNull(), F.min("__least").over(whole))
-    return counted.withColumn("aa_yn", known).drop("__least")
+    return counted.withColumn("aa_yn", F.min("__least").over(whole)).drop("__least")
 
 
 def old_by_new(lines: DataFrame) -> DataFrame:
@@ -95,7 +126,7 @@ def lines_by_decision(lines: DataFrame) -> DataFrame:
 
 def lines_by_priority(lines: DataFrame) -> DataFrame:
     return margin_table(
-        _lines_with_decision(lines, "urgent"), ["aa_yn", "urgent"], _crossed("aa_yn", "urgent"),
+        _lines_by_value(lines, "urgent"), ["aa_yn", "urgent"], _crossed("aa_yn", "urgent"),
         {"n": F.sum("numbers")},
     )
 

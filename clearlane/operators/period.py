@@ -42,7 +42,8 @@ def measure_period(lines: DataFrame) -> Period:
 def period_split(lines: DataFrame, measured: Period | None = None) -> DataFrame:
     """``post`` is 1 from the midpoint on; a missing date counts as before."""
     measured = measured or measure_period(lines)
-    middle = F.lit(measured.mid_date).cast("timestamp_ntz")
+    # as text: a Python datetime would be taken for the machine's time zone
+    middle = F.lit(measured.mid_date and measured.mid_date.isoformat(" ")).cast("timestamp_ntz")
     return lines.withColumn("post", flag(F.col("date_received") >= middle))
 
 

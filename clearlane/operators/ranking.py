@@ -55,42 +55,61 @@ def sequence_number(df: DataFrame, order_by: Sequence[str], out: str) -> DataFra
     )
 
 
+# percentile_approx is at most 1/BRACKET of the rows off
+BRACKET = 10_000
+
+
 def quantile_edges(df: DataFrame, column: str, parts: int) -> list[float]:
     """The ``parts - 1`` inner quantile edges of ``column``, linearly
-    interpolated; empty without any value. Only these few numbers reach the
-    driver. Equal values are counted first, so a value that fills a third of
-    the table is one row."""
-    counted = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranged = _ranged(counted, ["value"])
-    total = ranged.agg(F.sum("n")).first()[0]
-    if total is None:
+    interpolated; empty without any value. Null and NaN are not values.
+
+    Approximate percentiles bracket the wanted ranks; only the values in the
+    brackets, well below a hundredth of the rows, are then counted, ordered and
+    ranked exactly. Equal values are one row. Only figures reach the driver."""
+    value = F.col(column).cast("double")
+    rows = df.select(value.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    total = rows.count()
+    if not total:
         return []
     positions = [(total - 1) * (part * (1.0 / parts)) for part in range(1, parts)]
-    places = sorted({p for at in positions for p in (math.floor(at), math.ceil(at))})
+    margin = 2.0 / BRACKET
+    shares = sorted({min(1.0, max(0.0, p / total + d)) for p in positions for d in (-margin, margin + 2.0 / total)})
+    marks = dict(zip(shares, rows.agg(F.percentile_approx("value", shares, BRACKET)).first()[0], strict=True))
+    brackets = [
+        tuple(marks[min(1.0, max(0.0, p / total + d))] for d in (-margin, margin + 2.0 / total)) for p in positions
+    ]
+    inside = F.lit(False)
+    for low, high in brackets:
+        inside = inside | F.col("value").between(low, high)
+    lows = sorted({low for low, _ in brackets})
+    below = rows.agg(*[F.count(F.when(F.col("value") < low, 1)).alias(f"b{i}") for i, low in enumerate(lows)]).first()
+    ranged = _ranged(rows.filter(inside).groupBy("value").agg(F.count(F.lit(1)).alias("n")), ["value"])
+    # values inside any bracket that lie below a bracket are part of its rank
+    shown = ranged.agg(*[F.sum(F.when(F.col("value") < low, F.col("n")).otherwise(0)).alias(f"s{i}") for i, low in enumerate(lows)]).first()
+    skipped = {low: below[i] - shown[i] for i, low in enumerate(lows)}
     ranked = _accumulate(ranged, ["value"], "n", "upto")
-    found = ranked.agg(
-        *[F.min(F.when(F.col("upto") > place, F.col("value"))).alias(str(place)) for place in places]
-    ).first()
-
-    def interpolate(at: float) -> float:
-        low, high = found[str(math.floor(at))], found[str(math.ceil(at))]
+    wanted = {}
+    for p, (low, high) in zip(positions, brackets, strict=True):
+        for place in {math.floor(p), math.ceil(p)}:
+            above = (F.col("value").between(low, high)) & (F.col("upto") + skipped[low] > place)
+            wanted[place, low] = F.min(F.when(above, F.col("value"))).alias(f"{place}_{len(wanted)}")
+    found = dict(zip(wanted, ranked.agg(*wanted.values()).first(), strict=True))
+
+    def interpolate(at: float, bracket: float) -> float:
+        low, high = found[math.floor(at), bracket], found[math.ceil(at), bracket]
         share = at - math.floor(at)
         if share < 0.5:
             return low + (high - low) * share
         return high - (high - low) * (1 - share)
 
-    return [interpolate(at) for at in positions]
+    return [interpolate(p, low) for p, (low, _) in zip(positions, brackets, strict=True)]
 
 
 def quantile_bin(df: DataFrame, column: str, parts: int, out: str) -> DataFrame:
     """Number (0-based) of the value-quantile bin of ``column``: equal values
-    always share a bin, a bin includes its upper edge, null stays null and
-    repeated edges merge."""
-    value = F.col(column)
+    always share a bin, a bin includes its upper edge, null and NaN have none
+    and repeated edges merge."""
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     above = F.lit(0)
     for edge in quantile_edges(df, column, parts):
         above = above + F.when(value > edge, 1).otherwise(0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -9,16 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest right side (in rows) that is ever shipped to every executor.
-BROADCAST_ROW_LIMIT = 500_000
-# A key is hot when it holds more than 1/HOT_KEY_PARTS of all rows, so there
-# are always fewer than HOT_KEY_PARTS hot keys, whatever the size of the data.
-HOT_KEY_PARTS = 1000
+# A key is hot when it holds more rows than a task should, and more than
+# 1/MOST_HOT_KEYS of all rows, so there are always fewer than MOST_HOT_KEYS hot
+# keys, whatever the size of the data.
+HOT_ROWS = 5_000_000
+MOST_HOT_KEYS = 100_000
+
+_tables: dict[str, SparkSession] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named by ``spark.checkpoint.dir``; only a local session
-    without one gets a temporary folder."""
+    without one gets a temporary folder, which goes with the session."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -27,28 +31,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="clearlane-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write a (grouped, small) result to the checkpoint folder and cut its
-    lineage, so later branches read it instead of recomputing it."""
+    lineage, so later branches read it instead of recomputing it. Spark removes
+    the files when nothing refers to them any more, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stage_table(df: DataFrame) -> DataFrame:
-    """Write a large result that several passes read, as a columnar table in
-    the checkpoint folder. Each pass then reads only its columns, and Spark
-    knows the size. The folder's own retention removes the table."""
+    """Write a result that several passes read as a columnar table in the
+    checkpoint folder. Each pass then reads only its columns, and Spark knows
+    the size. :func:`release` removes the tables of a finished job."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _tables[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Remove every table staged so far; for the end of a job, when its results
+    are written. Frames that still read such a table become unusable."""
+    for path, spark in list(_tables.items()):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del _tables[path]
+
+
 def _match(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool) -> Column:
     condition = F.lit(True)
     for key in on:
@@ -69,27 +86,16 @@ def bounded_left_join(
     right: DataFrame,
     on: Sequence[str],
     null_safe: bool = False,
-    row_limit: int = BROADCAST_ROW_LIMIT,
     staged: bool = False,
 ) -> DataFrame:
     """Left outer join of a large ``left`` with a lookup that is unique on ``on``.
 
-    The lookup is staged and counted. Up to ``row_limit`` rows it is broadcast
-    and ``left`` is not shuffled; beyond that the join shuffles, with hot keys
-    taken out (see :func:`keyed_left_join`).
+    The lookup is stored, so Spark knows its bytes when it plans: a small one is
+    broadcast and ``left`` is not shuffled, any other is joined by a shuffle
+    whose skewed parts Spark splits at run time.
     """
-    lookup = right if staged else stage(right)
-    if lookup.limit(row_limit + 1).count() <= row_limit:
-        side = _prefixed(lookup, on)
-        return left.join(F.broadcast(side), _match(left, side, on, null_safe), "left").drop(
-            *[f"__r_{k}" for k in on]
-        )
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    side = _prefixed(lookup, on)
-    sized = counts.join(side, _match(counts, side, on, null_safe), "left").drop(
-        *[f"__r_{k}" for k in on]
-    )
-    return keyed_left_join(left, sized, on, "__n", null_safe)
+    side = _prefixed(right if staged else stage_table(right), on)
+    return left.join(side, _match(left, side, on, null_safe), "left").drop(*[f"__r_{k}" for k in on])
 
 
 def keyed_left_join(
@@ -98,20 +104,22 @@ def keyed_left_join(
     on: Sequence[str],
     rows_per_key: str,
     null_safe: bool = False,
-    hot_parts: int = HOT_KEY_PARTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left outer join where ``right`` has one row per key and its column
     ``rows_per_key`` says how many left rows carry that key.
 
-    Hot keys (fewer than ``hot_parts`` by definition) are broadcast. All other
-    rows are shuffled by key. Rows already answered by the broadcast, and rows
-    with a null key, would only pile up, so they are spread over the tasks by
-    the number of the partition they come from: that number is the same when a
-    lost task runs again, and costs no column.
+    ``right`` is stored once. Hot keys, more than ``hot_rows`` rows each and
+    fewer than ``MOST_HOT_KEYS``, are broadcast. All other rows are shuffled by
+    key. Rows already answered by the broadcast, and rows with a null key, would
+    only pile up, so they are spread over the tasks by the number of the
+    partition they come from: that number is the same when a lost task runs
+    again, and costs no column.
     """
     values = [c for c in right.columns if c not in on and c != rows_per_key]
-    total = right.agg(F.sum(rows_per_key)).scalar()
-    is_hot = F.col(rows_per_key) * F.lit(hot_parts) > total
+    right = stage_table(right)
+    total = right.agg(F.sum(rows_per_key)).first()[0] or 0
+    is_hot = F.col(rows_per_key) > F.lit(max(hot_rows, total // MOST_HOT_KEYS))
 
     hot = right.filter(is_hot).select(
         *[F.col(k).alias(f"__r_{k}") for k in on],

@@ -16,7 +16,7 @@ from clearlane.operators.costing import (
     review_roi,
 )
 from clearlane.operators.overrides import Step, apply_plan, start_decisions
-from clearlane.operators.staging import stage
+from clearlane.operators.staging import stage, stage_table
 
 
 @dataclass(frozen=True)
@@ -55,4 +55,4 @@ def decide(
     allow-list, line costs and reports all read it."""
     analysed = analyse(lines, claims, department_cost, unit_cost)
     final = apply_plan(start_decisions(analysed.table), plan, sheets, low_volume)
-    return Decisions(stage(final), analysed.unit_cost)
+    return Decisions(stage_table(final), analysed.unit_cost)

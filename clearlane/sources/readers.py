@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # header of the row-number column that saved data frames carry
 SAVED_INDEX = "Unnamed: 0"
 
 
+def _typed(name: str, kind: T.DataType) -> Column:
+    """The text as ``kind``; a cell that is not one stops the job."""
+    text = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return text.alias(name)
+    value = text.try_cast(kind)
+    message = F.concat(F.lit(f"column {name}, not {kind.simpleString()}: "), text)
+    bad = F.raise_error(message).cast(kind)
+    return F.when(text.isNull() | value.isNotNull(), value).otherwise(bad).alias(name)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -19,15 +31,21 @@ def read_delimited(
     saved_index: bool = False,
     **options: str,
 ) -> DataFrame:
-    """Delimited text with a header line. ``saved_index`` says that the first
-    column is a saved row number; it is read and dropped."""
-    if saved_index:
-        schema = T.StructType([T.StructField(SAVED_INDEX, T.StringType()), *schema.fields])
-    reader = spark.read.schema(schema).option("header", True).option("sep", sep)
-    for key, value in options.items():
+    """Delimited text with a header line, read by the names in the header: the
+    order of the columns does not matter, and further columns are left out. A
+    column that the header lacks and a cell of the wrong type are errors; an
+    empty cell is null. ``saved_index`` says that the file has a column of saved
+    row numbers, which is left out whatever its name."""
+    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
+    for key, value in {"mode": "FAILFAST", **options}.items():
         reader = reader.option(key, value)
     frame = reader.csv(path)
-    return frame.drop(SAVED_INDEX) if saved_index else frame
+    missing = [f.name for f in schema.fields if f.name not in frame.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(frame.columns)}")
+    if saved_index and len(frame.columns) <= len(schema.fields):
+        raise ValueError(f"{path} has no column of row numbers")
+    return frame.select(*[_typed(f.name, f.dataType) for f in schema.fields])
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -68,9 +86,13 @@ def run_sql_file(
     spark: SparkSession, path: str, tables: Mapping[str, DataFrame], **params: str
 ) -> DataFrame:
     """Run one query kept in a text file over the given tables. ``params`` are
-    bound to ``:name`` markers."""
+    bound to ``:name`` markers. The tables are visible to this query only."""
     with open(path, encoding="utf-8") as handle:
         text = handle.read()
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(text, args=params or None)
+    try:
+        return spark.sql(text, args=params or None)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)

@@ -163,6 +163,7 @@ STEPS |= {
                 FROM part p JOIN code_map cm ON cm.brand = p.p_brand GROUP BY cm.code""",
     "roi": _roi_select("clean", "SELECT unit_cost FROM ga"),
     "roi_a": _roi_select("clean_a", "10000.0::DOUBLE"),
+    "roi_a_cost": _roi_select("clean_a", f"{K.UNIT_COST_OVERRIDE!r}::DOUBLE"),
     "roi_m": _roi_select("clean_m", "SELECT unit_cost FROM ga_m"),
     "roi_old_a": _roi_select("clean_old_a", "10000.0::DOUBLE"),
     "decision_log": """
@@ -297,6 +298,7 @@ def _chain(name: str, source: str, chain: str) -> None:
 
 _chain("plan_a", "roi_a", "a")
 _chain("plan_a_old", "roi_old_a", "a")
+_chain("plan_a_cost", "roi_a_cost", "a")
 _chain("plan_b", "roi", "b")
 _chain("plan_c", "roi", "c")
 _chain("plan_m", "roi_m", "m")
@@ -543,6 +545,39 @@ def _report() -> str:
     return f"SELECT {cols} FROM summary"
 
 
+def _checks(as_of: str, fresh: int, span: tuple[int, int]) -> str:
+    return f"""
+      WITH d AS (SELECT min(date_received) AS a, max(date_received) AS z FROM lines),
+      raw AS (
+        SELECT 'freshness_days' AS "check", epoch({_ts(as_of)} - z)::DOUBLE / 86400 AS value,
+               NULL::DOUBLE AS lo, {fresh}::DOUBLE AS hi FROM d
+        UNION ALL SELECT 'span_days', epoch(z - a)::DOUBLE / 86400, {span[0]}, {span[1]} FROM d
+        UNION ALL SELECT 'review_cost', sum(cost_to_review), {S.DEPARTMENT_COST * 0.95!r},
+               {S.DEPARTMENT_COST * 1.05!r} FROM roi
+        UNION ALL SELECT 'groups_without_roi', count(*) FILTER (roi IS NULL), NULL, 1 FROM roi
+        UNION ALL SELECT 'groups_without_review', count(*) FILTER (units_man = 0), NULL, NULL FROM roi
+        UNION ALL SELECT 'unexpected_reasons', count(DISTINCT reason), NULL, 1 FROM decision_log
+               WHERE reason NOT IN ({_list(K.EXPECTED_REASONS)})
+        UNION ALL SELECT 'duplicate_decision_keys', count(*), NULL, 1 FROM (
+               SELECT 1 FROM decision_log GROUP BY specialty, cpt_code, is_ppl HAVING count(*) > 1))
+      SELECT "check", round(value + 0.00123, 2) AS value, round(lo + 0.00123, 2) AS lo, round(hi + 0.00123, 2) AS hi,
+             (lo IS NULL OR value > lo) AND (hi IS NULL OR value < hi) AS passed FROM raw"""
+
+
+def _titled(source: str, header: dict[str, str], rounded: dict[str, str]) -> str:
+    cols = ", ".join(f'{rounded.get(c, c)} AS "{title}"' for c, title in header.items())
+    return f"SELECT {cols} FROM ({source})"
+
+
+_CODE_DETAIL = f"""
+      SELECT p.specialty, p.cpt_code, p.is_ppl, p.units, p.auto_rate, p.denial_rate, p.units_man,
+             {', '.join(f'round(p.{c} + 0.0000123, 4) AS {c}' for c in _MONEY)}, p.fin_aa_rec, p.dec_source,
+             p.overrule_rsn, p.final_decision, r.new_rate, n.name AS cpt_desc
+      FROM plan_c p LEFT JOIN code_rate r
+        ON r.specialty = p.specialty AND r.cpt_code = p.cpt_code AND r.is_ppl = p.is_ppl
+      JOIN names n ON n.cpt_code = p.cpt_code"""
+
+
 def _rule_constants() -> str:
     return """8 AS auth_status, 1 AS auth_status_num, CAST(NULL AS VARCHAR) AS reftype_key,
       CAST(NULL AS VARCHAR) AS reftype_num, false AS bypass_adjudication, 'All' AS region_list,
@@ -555,6 +590,24 @@ def _rule_constants() -> str:
       'ALL' AS reffrom_provider_list, 'PPL' AS refto_status_list"""
 
 
+# the steps of a period once more, over the quarterly windows
+_PERIOD = (
+    "clean bounds halves period_ga half_groups half_roi half_rec compared comparison claim_stats code_mean lines "
+    "headers claim_rows roi ga"
+).split()
+_PERIOD_NAME = re.compile(rf"\b({'|'.join(_PERIOD)})\b")
+
+
+def _quarterly(text: str) -> str:
+    return _PERIOD_NAME.sub(r"\1_q", text)
+
+
+STEPS |= {f"{name}_q": _quarterly(STEPS[name]) for name in _PERIOD}
+STEPS |= {
+    "headers_q": _header_select(S.REFERRAL_WINDOW_QUARTERLY),
+    "claim_rows_q": _claims_select(S.CLAIM_WINDOW_QUARTERLY),
+}
+
 QUERIES |= {
     "claims_cost_stats": _round("claim_stats", 4, "sd_hcp_cost"),
     "claims_cost_stats_quarterly": _round(
@@ -605,6 +658,7 @@ QUERIES |= {
     "duplicate_decisions": """SELECT specialty, cpt_code, is_ppl, count(*) AS copies FROM decision_log
                               GROUP BY ALL HAVING count(*) > 1""",
     "decision_plan_a": _table("plan_a"),
+    "decision_plan_a_unit_cost": _table("plan_a_cost"),
     "decision_plan_b": _table("plan_b"),
     "decision_plan_c": _table("plan_c"),
     "decision_plan_m": _table("plan_m"),
@@ -659,13 +713,14 @@ QUERIES |= {
     "specialty_report": _report(),
     "new_period_summary": _summary_rounded("summary_new"),
     "projected_code_rate": "SELECT * FROM code_rate",
-    "code_detail": f"""
-      SELECT p.specialty, p.cpt_code, p.is_ppl, p.units, p.auto_rate, p.denial_rate, p.units_man,
-             {', '.join(f'round(p.{c} + 0.0000123, 4) AS {c}' for c in _MONEY)}, p.fin_aa_rec, p.dec_source,
-             p.overrule_rsn, p.final_decision, r.new_rate, n.name AS cpt_desc
-      FROM plan_c p LEFT JOIN code_rate r
-        ON r.specialty = p.specialty AND r.cpt_code = p.cpt_code AND r.is_ppl = p.is_ppl
-      JOIN names n ON n.cpt_code = p.cpt_code""",
+    "code_detail": _CODE_DETAIL,
+    "code_rate_report": _titled(
+        "SELECT * FROM code_rate", K.CODE_RATE_HEADER, {"new_rate": "round(new_rate, 4)"}
+    ),
+    "code_detail_report": _titled(
+        _CODE_DETAIL, K.CODE_DETAIL_HEADER,
+        {c: f"round({c} + 0.000000123, 6)" for c in ("auto_rate", "denial_rate", "new_rate")},
+    ),
     "xtab_auto_denied": _xtab(
         "clean", ["is_autoapp", "is_den"], "(is_autoapp, is_den), ()", "count(auth_number) AS n"
     ),
@@ -694,6 +749,11 @@ QUERIES |= {
     "period_summary": """SELECT *, round(CASE WHEN units_man > 0
       THEN units_man * (SELECT unit_cost FROM period_ga) END + 0.0000123, 4) AS cost_to_review FROM half_groups""",
     "period_compare": _round("comparison", 4, "avg_hcp_cost", "roi", "roi_pre"),
+    "period_split_quarterly": "SELECT auth_number, cpt_code, date_received, post FROM halves_q",
+    "period_bounds_quarterly": "SELECT * FROM bounds_q",
+    "period_summary_quarterly": """SELECT *, round(CASE WHEN units_man > 0
+      THEN units_man * (SELECT unit_cost FROM period_ga_q) END + 0.0000123, 4) AS cost_to_review FROM half_groups_q""",
+    "period_compare_quarterly": _round("comparison_q", 4, "avg_hcp_cost", "roi", "roi_pre"),
     "high_volume_groups": """SELECT specialty, cpt_code, is_ppl, units, units_pre, vol_increase
                              FROM comparison WHERE units > 40""",
     "reason_category": f"""
@@ -741,22 +801,8 @@ QUERIES |= {
       WHERE decile = 9 AND ref_to_specialty = 'SURGERY - VASCULAR' AND reason = 'DBA'""",
     "unexpected_reasons": f"""SELECT DISTINCT reason FROM decision_log
       WHERE reason IS NOT NULL AND reason NOT IN ({_list(K.EXPECTED_REASONS)})""",
-    "quality_checks": f"""
-      WITH d AS (SELECT min(date_received) AS a, max(date_received) AS z FROM lines),
-      raw AS (
-        SELECT 'freshness_days' AS "check", epoch({_ts(S.AS_OF)} - z)::DOUBLE / 86400 AS value,
-               NULL::DOUBLE AS lo, 90::DOUBLE AS hi FROM d
-        UNION ALL SELECT 'span_days', epoch(z - a)::DOUBLE / 86400, 360, 370 FROM d
-        UNION ALL SELECT 'review_cost', sum(cost_to_review), {S.DEPARTMENT_COST * 0.95!r},
-               {S.DEPARTMENT_COST * 1.05!r} FROM roi
-        UNION ALL SELECT 'groups_without_roi', count(*) FILTER (roi IS NULL), NULL, 1 FROM roi
-        UNION ALL SELECT 'groups_without_review', count(*) FILTER (units_man = 0), NULL, NULL FROM roi
-        UNION ALL SELECT 'unexpected_reasons', count(DISTINCT reason), NULL, 1 FROM decision_log
-               WHERE reason NOT IN ({_list(K.EXPECTED_REASONS)})
-        UNION ALL SELECT 'duplicate_decision_keys', count(*), NULL, 1 FROM (
-               SELECT 1 FROM decision_log GROUP BY specialty, cpt_code, is_ppl HAVING count(*) > 1))
-      SELECT "check", round(value + 0.00123, 2) AS value, round(lo + 0.00123, 2) AS lo, round(hi + 0.00123, 2) AS hi,
-             (lo IS NULL OR value > lo) AND (hi IS NULL OR value < hi) AS passed FROM raw""",
+    "quality_checks": _checks(S.AS_OF, K.FRESH_DAYS, K.SPAN_DAYS),
+    "quality_checks_quarterly": _quarterly(_checks(S.AS_OF_QUARTERLY, K.FRESH_DAYS_QUARTERLY, K.SPAN_DAYS_QUARTERLY)),
     "rule_table": f"""
       WITH pairs AS (
         SELECT specialty, cpt_code FROM plan_c WHERE final_decision = 1 AND is_ppl = 1

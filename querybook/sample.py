@@ -65,11 +65,13 @@ PLANS = (
 CLAIM_WINDOW = ("1996-01-01", "2000-12-31")
 CLAIM_WINDOW_QUARTERLY = ("1998-01-01", "1998-09-28")
 REFERRAL_WINDOW = ("1995-01-01", "2001-12-31")
+REFERRAL_WINDOW_QUARTERLY = ("1998-05-02", "1998-09-28")
 # referrals scored with rules learned on earlier ones
 OLD_WINDOW = ("1995-01-01", "1998-12-31")
 NEW_WINDOW = ("1999-01-01", "2001-12-31")
 DEPARTMENT_COST = 5.0e8
 AS_OF = "2001-10-01"
+AS_OF_QUARTERLY = "1998-10-01"
 
 
 def sql_literal(value: object) -> str:

@@ -296,6 +296,14 @@ def decision_plan_a(b: Book) -> DataFrame:
     return _decision_table(b.plan(overrides.PLAN_A, sheets, b.clean(cleaning.RULES_A), unit_cost=10_000.0).table)
 
 
+@query
+def decision_plan_a_unit_cost(b: Book) -> DataFrame:
+    """Plan A with the constant cost of a reviewed line."""
+    sheets = {f"sheet_{i}": b.sheet(1995 + i) for i in range(1, 5)}
+    lines = b.clean(cleaning.RULES_A)
+    return _decision_table(b.plan(overrides.PLAN_A, sheets, lines, unit_cost=K.UNIT_COST_OVERRIDE).table)
+
+
 @query
 def decision_plan_b(b: Book) -> DataFrame:
     return _decision_table(b.plan(overrides.PLAN_B, {"sheet": b.sheet(2000)}, b.clean()).table)
@@ -458,12 +466,26 @@ def projected_code_rate(b: Book) -> DataFrame:
     return summary.projected_code_rate(b.scored())
 
 
-@query
-def code_detail(b: Book) -> DataFrame:
+def _code_detail(b: Book) -> DataFrame:
     decisions = b.plan_c(b.stored()).table
     scored = approval.score_lines(b.stored(), decisions, staged=True)
-    detail = summary.code_detail(decisions, summary.projected_code_rate(scored), b.names())
-    return amounts(detail, *DECISION_ROUND)
+    return summary.code_detail(decisions, summary.projected_code_rate(scored), b.names())
+
+
+@query
+def code_detail(b: Book) -> DataFrame:
+    return amounts(_code_detail(b), *DECISION_ROUND)
+
+
+@query
+def code_rate_report(b: Book) -> DataFrame:
+    return sinks.report(summary.projected_code_rate(b.scored()), K.CODE_RATE_HEADER, 4)
+
+
+@query
+def code_detail_report(b: Book) -> DataFrame:
+    rounded_ = rates(amounts(_code_detail(b), *DECISION_ROUND), "auto_rate", "denial_rate", "new_rate")
+    return sinks.report(rounded_, K.CODE_DETAIL_HEADER, 6)
 
 
 # --- cross-tabulations ---------------------------------------------------------------------------
@@ -517,10 +539,9 @@ def period_summary(b: Book) -> DataFrame:
     return amounts(period.period_summary(b.stored(), S.DEPARTMENT_COST), "cost_to_review")
 
 
-def _comparison(b: Book) -> DataFrame:
-    return period.period_compare(
-        b.stored(), b.claims(S.CLAIM_WINDOW), b.names(), b.master(), S.DEPARTMENT_COST
-    )
+def _comparison(b: Book, window=S.REFERRAL_WINDOW, claims=S.CLAIM_WINDOW) -> DataFrame:
+    lines = b.stored(cleaning.RULES_C, window)
+    return period.period_compare(lines, b.claims(claims), b.names(), b.master(), S.DEPARTMENT_COST)
 
 
 @query
@@ -528,6 +549,32 @@ def period_compare(b: Book) -> DataFrame:
     return amounts(period.by_volume(_comparison(b)), "avg_hcp_cost", "roi", "roi_pre")
 
 
+def _quarter(b: Book) -> DataFrame:
+    return b.clean(window=S.REFERRAL_WINDOW_QUARTERLY)
+
+
+@query
+def period_bounds_quarterly(b: Book) -> DataFrame:
+    return period.period_bounds(_quarter(b))
+
+
+@query
+def period_split_quarterly(b: Book) -> DataFrame:
+    split = period.period_split(stage_table(_quarter(b)))
+    return split.select("auth_number", "cpt_code", "date_received", "post")
+
+
+@query
+def period_summary_quarterly(b: Book) -> DataFrame:
+    return amounts(period.period_summary(stage_table(_quarter(b)), S.DEPARTMENT_COST), "cost_to_review")
+
+
+@query
+def period_compare_quarterly(b: Book) -> DataFrame:
+    compared = _comparison(b, S.REFERRAL_WINDOW_QUARTERLY, S.CLAIM_WINDOW_QUARTERLY)
+    return amounts(compared, "avg_hcp_cost", "roi", "roi_pre")
+
+
 @query
 def high_volume_groups(b: Book) -> DataFrame:
     return period.high_volume(_comparison(b), above=40).select(
@@ -619,12 +666,25 @@ def unexpected_reasons(b: Book) -> DataFrame:
     return quality.unexpected_reasons(b.master())
 
 
+def _checks(b: Book, window, claims, as_of: str, fresh_days: int, span_days: tuple[int, int]) -> DataFrame:
+    """The extract, the analysed groups and the sheet are each stored once."""
+    lines = stage_table(b.lines(window))
+    table = stage_table(analyse(cleaning.clean_referrals(lines, cleaning.RULES_C), b.claims(claims), S.DEPARTMENT_COST).table)
+    checks = quality.quality_checks(lines, table, b.master(), as_of, S.DEPARTMENT_COST, fresh_days, span_days)
+    return totals(checks, "value", "lo", "hi")
+
+
 @query
 def quality_checks(b: Book) -> DataFrame:
-    checks = quality.quality_checks(
-        b.lines(), b.analysed().table, b.master(), S.AS_OF, S.DEPARTMENT_COST
+    return _checks(b, S.REFERRAL_WINDOW, S.CLAIM_WINDOW, S.AS_OF, K.FRESH_DAYS, K.SPAN_DAYS)
+
+
+@query
+def quality_checks_quarterly(b: Book) -> DataFrame:
+    return _checks(
+        b, S.REFERRAL_WINDOW_QUARTERLY, S.CLAIM_WINDOW_QUARTERLY, S.AS_OF_QUARTERLY,
+        K.FRESH_DAYS_QUARTERLY, K.SPAN_DAYS_QUARTERLY,
     )
-    return totals(checks, "value", "lo", "hi")
 
 
 @query

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -140,3 +141,20 @@ def test_decision_reason_pairs_keep_empty_cells(spark):
         ("1", "RNL", "0"): None, ("1", "RNL", "1"): None, ("1", "RNL", "All"): None,
         ("All", "All", "0"): 2, ("All", "All", "1"): 3, ("All", "All", "All"): 5,
     }
+
+
+def test_nan_is_no_confidence(spark):
+    values = [float(i) for i in range(18)] + [float("nan")] * 2 + [None]
+    frame = spark.createDataFrame([(v,) for v in values], "c double")
+    assert ranking.quantile_edges(frame, "c", 10) == pytest.approx(list(np.quantile(range(18), np.arange(1, 10) / 10)))
+    got = {r.c: r.d for r in ranking.quantile_bin(frame, "c", 10, "d").collect() if r.c == r.c}
+    assert got[None] is None and got[0.0] == 0 and got[17.0] == 9
+    assert all(r.d is None for r in ranking.quantile_bin(frame, "c", 10, "d").filter("isnan(c)").collect())
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "few"])
+def test_edges_are_exact_on_many_rows(spark, kind):
+    rng = np.random.default_rng(3)
+    values = {"even": rng.random(60_000), "ties": np.round(rng.normal(size=60_000), 1), "few": rng.random(3)}[kind]
+    frame = spark.createDataFrame([(float(v),) for v in values], "c double").repartition(5)
+    assert ranking.quantile_edges(frame, "c", 10) == pytest.approx(list(np.quantile(values, np.arange(1, 10) / 10)), abs=1e-12)

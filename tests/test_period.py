@@ -1,3 +1,4 @@
+import time
 from datetime import date, datetime
 
 import pytest
@@ -92,3 +93,15 @@ def test_halves_side_by_side_equal_grouped_halves(spark):
             for column in ("units", "is_autoapp", "units_man", "is_den"):
                 assert grouped[(post, code)][column] == pytest.approx(wide[code][column + suffix])
     assert sum(r["cost_to_review"] for r in grouped.values()) == pytest.approx(3650.0 * 10 / 365)
+
+
+def test_midpoint_does_not_depend_on_the_machines_time_zone(spark, monkeypatch):
+    frame = lines(spark, *[{"date_received": datetime(2018, 1, day, hour)} for day, hour in ((1, 0), (1, 12), (1, 18), (2, 0))])
+    monkeypatch.setenv("TZ", "America/Los_Angeles")
+    time.tzset()
+    try:
+        rows = period.period_split(frame).select("date_received", "post").collect()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert sorted((r.date_received.day, r.date_received.hour, r.post) for r in rows) == [(1, 0, 0), (1, 12, 1), (1, 18, 1), (2, 0, 1)]

@@ -138,3 +138,24 @@ def test_sql_file_runs_on_given_tables(spark, tmp_path):
 def test_dates_given_as_text(spark):
     frame = spark.createDataFrame([("2019-05-01 10:00:00", None)], "date_received string, date_decision string")
     assert cleaning.parse_dates(frame).first()["date_received"] == datetime(2019, 5, 1, 10)
+
+
+def test_delimited_text_is_read_by_name(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("Unnamed: 0|name|units|cpt_code\n0|x ray|2.5|0071\n1|visit||99213\n")
+    schema = schemas._struct("cpt_code string, name string, units double")
+    rows = readers.read_delimited(spark, str(tmp_path / "f.txt"), schema, sep="|", saved_index=True).collect()
+    assert sorted(map(tuple, rows)) == [("0071", "x ray", 2.5), ("99213", "visit", None)]
+
+
+def test_bad_cells_and_missing_columns_are_errors(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("cpt_code,units\n1,abc\n")
+    with pytest.raises(Exception, match="column units, not double: abc"):
+        readers.read_delimited(spark, str(tmp_path / "f.csv"), schemas._struct("cpt_code string, units double")).collect()
+    with pytest.raises(ValueError, match="no column name"):
+        readers.read_delimited(spark, str(tmp_path / "f.csv"), schemas._struct("name string"))
+
+
+def test_sql_file_leaves_no_view(spark, tmp_path):
+    (tmp_path / "q.sql").write_text("SELECT count(*) AS n FROM probe_lines WHERE id >= :least")
+    assert readers.run_sql_file(spark, str(tmp_path / "q.sql"), {"probe_lines": spark.range(9)}, least=4).first().n == 5
+    assert not spark.catalog.tableExists("probe_lines")

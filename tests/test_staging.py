@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,25 +31,33 @@ def frames(spark):
     return left, right, want
 
 
-@pytest.mark.parametrize("limit", [1000, 0], ids=["broadcast", "shuffled"])
-def test_bounded_join_is_the_same_either_way(frames, limit):
+@pytest.fixture(params=["10m", "-1"], ids=["broadcast", "shuffled"])
+def join_size(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bounded_join_is_the_same_either_way(frames, join_size):
     left, right, want = frames
-    assert _counts(bounded_left_join(left, right, ["k"], row_limit=limit)) == want
+    out = bounded_left_join(left, right, ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (join_size != "-1")
+    assert _counts(out) == want
 
 
 def test_hot_key_without_partner_stays(spark, frames):
     left, right, _ = frames
     few = right.filter("k <> 'hot'")
-    assert _counts(bounded_left_join(left, few, ["k"], row_limit=0)) == _counts(left.join(few, "k", "left"))
+    assert _counts(bounded_left_join(left, few, ["k"])) == _counts(left.join(few, "k", "left"))
 
 
-def test_missing_keys_match_when_asked(spark, frames):
+def test_missing_keys_match_when_asked(spark, frames, join_size):
     left, right, _ = frames
     extra = right.union(spark.createDataFrame([(None, 77)], "k string, w int"))
-    for limit in (1000, 0):
-        out = bounded_left_join(left, extra, ["k"], null_safe=True, row_limit=limit)
-        assert out.filter("k IS NULL AND w = 77").count() == 500
-        assert out.count() == left.count()
+    out = bounded_left_join(left, extra, ["k"], null_safe=True)
+    assert out.filter("k IS NULL AND w = 77").count() == 500
+    assert out.count() == left.count()
 
 
 def test_hot_rows_are_spread(spark, frames):
@@ -57,7 +67,7 @@ def test_hot_rows_are_spread(spark, frames):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        out = keyed_left_join(left, counts.join(right, "k", "left"), ["k"], "n", hot_parts=3)
+        out = keyed_left_join(left, counts.join(right, "k", "left"), ["k"], "n", hot_rows=1000)
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
@@ -75,6 +85,23 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert table.count() == 5 and folder.removeprefix("file:") in table.inputFiles()[0]
 
 
+def test_staged_tables_are_removed_when_a_job_is_done(spark):
+    table = staging.stage_table(spark.range(5))
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    staging.release()
+    assert not os.path.exists(path) and not staging._tables
+
+
+def test_keyed_join_groups_the_lines_once(spark, frames):
+    """The right side is stored, so the join's plan does not group again."""
+    left, right, want = frames
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k IS NOT NULL")
+    out = keyed_left_join(left, counts.join(right, "k", "left"), ["k"], "n", hot_rows=1000)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert _counts(out) == want
+
+
 def test_shared_referral_number_gives_the_same_report(spark):
     """A third of all lines under one number."""
     rows = spark.range(3000).select(
@@ -100,6 +127,6 @@ def test_shared_referral_number_gives_the_same_report(spark):
     for a, b in zip(whole, parts, strict=True):
         for column in summary.DOLLARS:
             assert a[column] == pytest.approx(b[column])
-    shared = approval.attach_referral_decision(approval.score_lines(rows, decisions, row_limit=0))
+    shared = approval.attach_referral_decision(approval.score_lines(rows, decisions))
     assert shared.filter("auth_number = 'SHARED'").select("aa_yn").distinct().collect()[0][0] == 0
     assert shared.count() == 3000
