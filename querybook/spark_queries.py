@@ -540,7 +540,7 @@ def period_summary(b: Book) -> DataFrame:
 
 
 def _comparison(b: Book, window=S.REFERRAL_WINDOW, claims=S.CLAIM_WINDOW) -> DataFrame:
-    lines = b.stored(cleaning.RULES_C, window)
+    lines = b.stored() if window == S.REFERRAL_WINDOW else stage_table(b.clean(window=window))
     return period.period_compare(lines, b.claims(claims), b.names(), b.master(), S.DEPARTMENT_COST)
 
 
