@@ -593,7 +593,7 @@ def _rule_constants() -> str:
 # the steps of a period once more, over the quarterly windows
 _PERIOD = (
     "clean bounds halves period_ga half_groups half_roi half_rec compared comparison claim_stats code_mean lines "
-    "headers claim_rows roi ga"
+    "headers claim_rows"
 ).split()
 _PERIOD_NAME = re.compile(rf"\b({'|'.join(_PERIOD)})\b")
 
@@ -606,6 +606,8 @@ STEPS |= {f"{name}_q": _quarterly(STEPS[name]) for name in _PERIOD}
 STEPS |= {
     "headers_q": _header_select(S.REFERRAL_WINDOW_QUARTERLY),
     "claim_rows_q": _claims_select(S.CLAIM_WINDOW_QUARTERLY),
+    "ga_q": _quarterly(STEPS["ga"]),
+    "roi_q": _quarterly(_roi_select("clean", "SELECT unit_cost FROM ga_q")),
 }
 
 QUERIES |= {
@@ -802,7 +804,9 @@ QUERIES |= {
     "unexpected_reasons": f"""SELECT DISTINCT reason FROM decision_log
       WHERE reason IS NOT NULL AND reason NOT IN ({_list(K.EXPECTED_REASONS)})""",
     "quality_checks": _checks(S.AS_OF, K.FRESH_DAYS, K.SPAN_DAYS),
-    "quality_checks_quarterly": _quarterly(_checks(S.AS_OF_QUARTERLY, K.FRESH_DAYS_QUARTERLY, K.SPAN_DAYS_QUARTERLY)),
+    "quality_checks_quarterly": _quarterly(
+        _checks(S.AS_OF_QUARTERLY, K.FRESH_DAYS_QUARTERLY, K.SPAN_DAYS_QUARTERLY).replace("FROM roi", "FROM roi_q")
+    ),
     "rule_table": f"""
       WITH pairs AS (
         SELECT specialty, cpt_code FROM plan_c WHERE final_decision = 1 AND is_ppl = 1
