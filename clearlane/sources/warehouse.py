@@ -127,8 +127,8 @@ def _headers(
         )
         headers = headers.join(priorities, "priority_key")
     return (
-        headers.join(tables["lu_eligibility"], "elig_key")
-        .join(sites, "hcp_site_key")
+        # members of the wanted sites, not all members, meet the headers
+        headers.join(tables["lu_eligibility"].join(sites, "hcp_site_key"), "elig_key")
         .join(providers, "referring_prov_key", "left_semi")
         .withColumnsRenamed(
             {

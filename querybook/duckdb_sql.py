@@ -619,6 +619,9 @@ QUERIES |= {
     "cpt_short_name": "SELECT * FROM names",
     "referral_extract": "SELECT * FROM lines",
     "referral_extract_new": "SELECT * EXCLUDE (urgent) FROM lines_new",
+    "referral_name_fanout": """SELECT l.cpt_code, l.specialty, CAST(sum(k) AS BIGINT) AS n, sum(units * k) AS units
+      FROM lines l JOIN (SELECT cm.code, count(*) AS k FROM part p JOIN code_map cm ON cm.brand = p.p_brand
+                         GROUP BY cm.code) c ON c.code = l.cpt_code GROUP BY 1, 2""",
     "referral_header_extract": "SELECT * EXCLUDE (o_orderkey, urgent) FROM headers",
     "clean_referrals": "SELECT * FROM clean",
     "lob_specialty_split": f"""
@@ -638,7 +641,7 @@ QUERIES |= {
     "one_region": """SELECT region, specialty, count(units) AS units FROM clean
                      WHERE upper(region) = 'SAN GABRIEL VALLEY' GROUP BY region, specialty""",
     "note_cleanup": f"""SELECT {_case('reason', K.NOTE_CLEANUP)} AS notes, count(*) AS n
-                        FROM decision_log WHERE decision_year = 1996 GROUP BY 1""",
+                        FROM decision_log GROUP BY 1""",
     "cost_by_code": _round("code_mean", 4, "avg_hcp_cost_code"),
     "manual_volume": """SELECT specialty, cpt_code, is_ppl, count(units) AS units_man FROM clean
                         WHERE is_autoapp = 0 AND specialty IS NOT NULL GROUP BY ALL""",

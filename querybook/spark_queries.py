@@ -162,6 +162,13 @@ def referral_extract_new(b: Book) -> DataFrame:
     return b.lines(S.NEW_WINDOW, with_priority=False)
 
 
+@query
+def referral_name_fanout(b: Book) -> DataFrame:
+    """Lines repeated for every name of their code, as a plain join does."""
+    lines = warehouse.referral_lines(b.referral_tables(), S.REFERRAL_WINDOW, keep_name_fanout=True)
+    return lines.groupBy("cpt_code", "specialty").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"))
+
+
 @query
 def referral_header_extract(b: Book) -> DataFrame:
     return warehouse.referral_headers(b.referral_tables(), S.REFERRAL_WINDOW)
@@ -205,7 +212,8 @@ def one_region(b: Book) -> DataFrame:
 
 @query
 def note_cleanup(b: Book) -> DataFrame:
-    return cleaning.normalise_notes(b.sheet(1996)).groupBy("notes").agg(F.count(F.lit(1)).alias("n"))
+    notes = b.decision_log().withColumnRenamed("reason", "notes")
+    return cleaning.normalise_notes(notes).groupBy("notes").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- cost and return ----------------------------------------------------------------------
