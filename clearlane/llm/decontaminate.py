@@ -126,15 +126,15 @@ def _vectors(number: np.ndarray, first: np.ndarray, vocabulary: Vocabulary):
 def _times(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
     """The sparse rows times ``basis``."""
     if not len(row):
-        return np.zeros((n, basis.shape[1]))
+        return np.zeros((n, basis.shape[1]), basis.dtype)
     starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    return np.add.reduceat(basis[term] * value[:, None], starts, axis=0)
+    return np.add.reduceat(basis[term] * value[:, None].astype(basis.dtype), starts, axis=0)
 
 
 def _gram(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """A'(A Q) of the passages of a task, one row for each term it has."""
     vocabulary, basis = shared.value
-    total, passages = np.zeros(basis.shape), 0
+    total, passages = np.zeros(basis.shape, np.float32), 0
     for batch in T.slices(batches, "text"):
         number, first = _numbered(batch.column("text"), vocabulary)
         _, _, row, term, value = _vectors(number, first, vocabulary)
@@ -143,10 +143,12 @@ def _gram(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         product = _times(row, term, value, int(row[-1]) + 1, basis)
         order = np.argsort(term, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(term[order]) != 0))
-        total[term[order][starts]] += np.add.reduceat(product[row[order]] * value[order][:, None], starts, axis=0)
+        total[term[order][starts]] += np.add.reduceat(
+            product[row[order]] * value[order][:, None].astype(np.float32), starts, axis=0
+        )
         passages += int(row[-1]) + 1
     # the number of passages goes with the terms, in the place after the last
-    total = np.append(total, np.full((1, basis.shape[1]), float(passages)), axis=0)
+    total = np.append(total, np.full((1, basis.shape[1]), passages, np.float32), axis=0)
     seen = np.flatnonzero(np.abs(total).sum(axis=1))
     flat = pa.array(total[seen].ravel())
     offsets = pa.array(np.arange(len(seen) + 1, dtype=np.int32) * basis.shape[1])
@@ -162,7 +164,7 @@ def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[term] = sums[term] + v if term in sums else v
     if sums:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))],
+            [pa.array(list(sums), pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float32()))],
             names=["term", "v"],
         )
 
@@ -192,10 +194,10 @@ def latent_basis(texts: DataFrame, vocabulary: Vocabulary, rank: int = RANK) ->
     row, term, value = item_vectors(vocabulary)
     rows, at = np.unique(row, return_inverse=True)
     for last in (False, True):
-        shared = context.broadcast((vocabulary, basis))
-        parts = texts.mapInArrow(partial(_gram, shared=shared), "term long, v array<double>")
+        shared = context.broadcast((vocabulary, basis.astype(np.float32)))
+        parts = texts.mapInArrow(partial(_gram, shared=shared), "term long, v array<float>")
         # at most one row for each task and term; both are bounded
-        summed = parts.repartition("term").mapInArrow(_summed, "term long, v array<double>").collect()
+        summed = parts.repartition("term").mapInArrow(_summed, "term long, v array<float>").collect()
         product = np.zeros((terms + 1, basis.shape[1]))
         for r in summed:
             product[r["term"]] = r["v"]
@@ -291,7 +293,8 @@ def _block_leaks(base: DataFrame, ids: list[int], texts: list[str], answers: lis
     length = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, length, out=np.zeros_like(latent), where=length > 0)
     answer_words = [a if len(a) else item[-ANSWER_WORDS:] for a, item in zip(given, vocabulary.items, strict=True)]
-    shared = context.broadcast((vocabulary, basis, latent, ids, answer_words))
+    compact = (basis.astype(np.float32), latent.astype(np.float32))
+    shared = context.broadcast((vocabulary, *compact, ids, answer_words))
     schema = "doc_id long, item_id long, word int, lcs double, answered boolean"
     return base.mapInArrow(partial(_search, shared=shared), schema)
 
