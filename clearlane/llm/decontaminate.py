@@ -204,7 +204,7 @@ def latent_basis(texts: DataFrame, vocabulary: Vocabulary, rank: int = RANK) ->
         product, passages = product[:terms], max(1.0, product[terms, 0])
         own = _times(at, term, value, len(rows), basis)
         np.add.at(product, term, own[at] * value[:, None] * (passages / len(rows)))
-        shared.unpersist()
+        shared.destroy()
         if not last:
             basis = _orthonormal(product)
     # basis' A'A basis: its eigenvectors turn the basis into singular vectors
@@ -296,7 +296,9 @@ def _block_leaks(base: DataFrame, ids: list[int], texts: list[str], answers: lis
     compact = (basis.astype(np.float32), latent.astype(np.float32))
     shared = context.broadcast((vocabulary, *compact, ids, answer_words))
     schema = "doc_id long, item_id long, word int, lcs double, answered boolean"
-    return base.mapInArrow(partial(_search, shared=shared), schema)
+    written = stage_table(base.mapInArrow(partial(_search, shared=shared), schema))
+    shared.destroy()
+    return written
 
 
 def leaks(
@@ -341,5 +343,4 @@ def leaks(
 
 
 def _searched(base: DataFrame, rows: list) -> DataFrame | None:
-    found = _block_leaks(base, [r["item_id"] for r in rows], [r["text"] for r in rows], [r["answer"] for r in rows])
-    return None if found is None else stage_table(found)
+    return _block_leaks(base, [r["item_id"] for r in rows], [r["text"] for r in rows], [r["answer"] for r in rows])

@@ -269,6 +269,7 @@ def judge_quality(
             "doc_id long, lang string, model string, n_symbols long, nats double, held_out double",
         )
     )
+    models.destroy()  # the scores are written
     reference = scored.join(trusted_ids, "doc_id", "left_semi").filter("n_symbols > 0")
     # the mean of a short document varies more; its allowance is taken off
     # before the quantiles, and given back to the judged document
