@@ -1,6 +1,9 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model.
+"""Quality by perplexity under interpolated modified Kneser-Ney models.
 
-The model predicts characters. Bytes fall into ``SYMBOLS`` classes (white space,
+Two models judge a document, one of words (``word_grams``) and one of
+characters, and either can reject it. The word model grows with the corpus.
+
+The model of characters is bounded. Bytes fall into ``SYMBOLS`` classes (white space,
 each lower-case letter, capitals, digits, full stop and comma, other signs, and
 characters beyond ASCII), and a text is a sequence of classes that starts with a
 border. With ``ORDER`` symbols an n-gram is a number below
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearlane.llm import tokens as T
+from clearlane.llm import word_grams
 from clearlane.operators.staging import stage, stage_table
 
 ORDER = 4
@@ -42,6 +46,9 @@ LOW, HIGH = 0.0005, 0.995
 # length
 SLACK = 0.03
 SLACK_ROOT = 3.0
+# the same for each word; the halves' models differ more
+WORD_SLACK = 0.25
+WORD_SLACK_ROOT = 9.0
 OTHER = "*"  # the model of all languages together
 
 BORDER, CAPITAL, DIGIT, STOP, SIGN, BEYOND = 0, 27, 28, 29, 30, 31
@@ -224,11 +231,27 @@ def _score(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch
                     total[docs] = np.add.reduceat(loss, np.cumsum(n[docs]) - n[docs])
             means.append(pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), pa.array(langs, pa.string()), pa.array(n.astype(np.int64)), *means],
-            names=["doc_id", "lang", "model", "n_symbols", "nats", "held_out"],
+            [
+                *[batch.column(c) for c in ("doc_id", "text_id", "lang")],
+                pa.array(langs, pa.string()),
+                batch.column("half"),
+                pa.array(n.astype(np.int64)),
+                *means,
+            ],
+            names=["doc_id", "text_id", "lang", "model", "half", "n_symbols", "nats", "held_out"],
         )
 
 
+def _with_words(base: DataFrame, scored: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The scored rows with n_words and word_nats. A text is judged once
+    for each model, and its score is joined to all rows that have it."""
+    counts = stage_table(word_grams.gram_counts(trusted.withColumn("half", _half("doc_id"))))
+    model = word_grams.model_column(word_grams.models_of(counts))
+    texts = base.withColumn("half", _half("doc_id")).select(word_grams.text_id().alias("text_id"), "text", model.alias("model"))
+    scores = word_grams.word_scores(texts, counts).withColumnRenamed("model", "word_model")
+    return scored.withColumn("word_model", model).join(scores, ["text_id", "word_model"], "left")
+
+
 def judge_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -239,12 +262,13 @@ def judge_quality(
     high: float = HIGH,
 ) -> DataFrame:
     """One row per input row: doc_id, lang, n_symbols, perplexity, lowest,
-    highest, kept.
+    highest, kept, n_words, word_perplexity, word_lowest, word_highest.
 
     ``labels`` has doc_id and quality; documents with quality 1 are trusted. The
     limits of a language are the quantiles ``low`` and ``high`` of the trusted
     documents' mean loss, with a margin that shrinks with the length of the
-    judged document. Languages without trusted text, and a null one, use the
+    judged document; ``kept`` needs both the characters and the words inside
+    their limits. Languages without trusted text, and a null one, use the
     model and limits of all languages together. A null or empty text has nothing
     to predict, perplexity 1, and is kept. Without any trusted document nothing
     is rejected: perplexity and limits are null. A document whose id is repeated
@@ -261,31 +285,39 @@ def judge_quality(
     if not rows.num_rows:
         nothing = F.lit(None).cast("double")
         n = F.lit(None).cast("long")
-        return base.select("doc_id", "lang", n.alias("n_symbols"), nothing.alias("perplexity"), nothing.alias("lowest"), nothing.alias("highest"), F.lit(True).alias("kept"))
+        return base.select("doc_id", "lang", n.alias("n_symbols"), nothing.alias("perplexity"), nothing.alias("lowest"), nothing.alias("highest"), F.lit(True).alias("kept"), n.alias("n_words"), nothing.alias("word_perplexity"), nothing.alias("word_lowest"), nothing.alias("word_highest"))
     models = docs.sparkSession.sparkContext.broadcast(dense_model(rows))
     scored = stage_table(
-        base.withColumn("half", _half("doc_id")).mapInArrow(
+        base.withColumn("half", _half("doc_id")).withColumn("text_id", word_grams.text_id()).mapInArrow(
             partial(_score, models=models),
-            "doc_id long, lang string, model string, n_symbols long, nats double, held_out double",
+            "doc_id long, text_id long, lang string, model string, half int, n_symbols long, nats double, held_out double",
         )
     )
     models.destroy()  # the scores are written
+    scored = stage_table(_with_words(base, scored, trusted))
     reference = scored.join(trusted_ids, "doc_id", "left_semi").filter("n_symbols > 0")
     # the mean of a short document varies more; its allowance is taken off
     # before the quantiles, and given back to the judged document
     own = F.lit(SLACK_ROOT) / F.sqrt(F.col("n_symbols") + 1)
+    word_own = F.lit(WORD_SLACK_ROOT) / F.sqrt(F.col("n_words") + 1)
     every = reference.select(
         F.explode(F.array_distinct(F.array("model", F.lit(OTHER)))).alias("model"),
         (F.col("nats") + own).alias("above"),
         (F.col("held_out") - own).alias("below"),
+        (F.col("word_nats") + word_own).alias("word_above"),
+        (F.col("word_nats") - word_own).alias("word_below"),
     )
     limits = every.groupBy("model").agg(
-        F.percentile_approx("above", low, 100_000).alias("lo"), F.percentile_approx("below", high, 100_000).alias("hi")
+        F.percentile_approx("above", low, 100_000).alias("lo"),
+        F.percentile_approx("below", high, 100_000).alias("hi"),
+        F.percentile_approx("word_above", low, 100_000).alias("word_lo"),
+        F.percentile_approx("word_below", high, 100_000).alias("word_hi"),
     )
-    slack = own + F.lit(SLACK)
-    # at most LANGUAGES rows
+    slack, word_slack = own + F.lit(SLACK), word_own + F.lit(WORD_SLACK)
+    # one row for each language
     judged = scored.join(F.broadcast(limits), "model", "left")
     fits = (F.col("n_symbols") == 0) | F.col("nats").between(F.col("lo") - slack, F.col("hi") + slack)
+    word_fits = F.col("word_nats").between(F.col("word_lo") - word_slack, F.col("word_hi") + word_slack)
     return judged.select(
         "doc_id",
         "lang",
@@ -293,5 +325,9 @@ def judge_quality(
         F.exp("nats").alias("perplexity"),
         F.exp(F.col("lo") - slack).alias("lowest"),
         F.exp(F.col("hi") + slack).alias("highest"),
-        F.coalesce(fits, F.lit(True)).alias("kept"),
+        (F.coalesce(fits, F.lit(True)) & F.coalesce(word_fits, F.lit(True))).alias("kept"),
+        F.coalesce("n_words", F.lit(0)).alias("n_words"),
+        F.exp("word_nats").alias("word_perplexity"),
+        F.exp(F.col("word_lo") - word_slack).alias("word_lowest"),
+        F.exp(F.col("word_hi") + word_slack).alias("word_highest"),
     )
