@@ -14,9 +14,10 @@ border. With ``ORDER`` symbols an n-gram is a number below
   shuffle by n-gram. Context totals, continuation counts, discounts and the
   probabilities of seen n-grams are joins of such count tables.
 * The finished table has at most ``SYMBOLS ** ORDER`` (1.05 million) rows for
-  each of at most ``LANGUAGES`` languages, whatever the size of the corpus. Only
-  because of that bound it is broadcast: scoring is then one pass over the
-  documents without a shuffle of texts.
+  a model, whatever the size of the corpus. Only because of that bound it is
+  broadcast, for ``LANGUAGES`` - 1 languages and all together at once: scoring is
+  then one pass over the documents of these languages without a shuffle of
+  texts, and further languages take further passes over theirs.
 * A document is rejected if its perplexity is outside the quantiles of the
   trusted documents of its language. A model knows its own training text too
   well, so for the upper limit the trusted documents are halved, and each half
@@ -99,6 +100,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = np.bincount(np.concatenate(waiting.pop(key)), minlength=SYMBOLS**ORDER)
         totals[key] = totals[key] + counted if key in totals else counted
 
+    def counted_rows() -> Iterator[pa.RecordBatch]:
+        for key in list(waiting):
+            add(key)
+        for (lang, half), counted in totals.items():
+            seen = np.flatnonzero(counted)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(seen), pa.string()),
+                    pa.array([half] * len(seen), pa.int32()),
+                    pa.array(seen, pa.int64()),
+                    pa.array(counted[seen], pa.int64()),
+                ],
+                names=["lang", "half", "code", "n"],
+            )
+        totals.clear()
+
     for batch in T.slices(batches, "text"):
         code, offsets = symbol_codes(batch.column("text"))
         keys = list(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True))
@@ -108,19 +125,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(code[np.repeat(mine, np.diff(offsets))])
             if sum(map(len, parts)) > COUNT_AT_ONCE:
                 add(key)
-    for key in list(waiting):
-        add(key)
-    for (lang, half), counted in totals.items():
-        seen = np.flatnonzero(counted)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(seen), pa.string()),
-                pa.array([half] * len(seen), pa.int32()),
-                pa.array(seen, pa.int64()),
-                pa.array(counted[seen], pa.int64()),
-            ],
-            names=["lang", "half", "code", "n"],
-        )
+        # however many languages there are, a task holds a few tables
+        if len({*totals, *waiting}) > 2 * LANGUAGES:
+            yield from counted_rows()
+    yield from counted_rows()
 
 
 def _half(column: str) -> Column:
@@ -129,13 +137,9 @@ def _half(column: str) -> Column:
 
 def ngram_counts(trusted: DataFrame) -> DataFrame:
     """(lang, code, n) over the trusted documents (doc_id, text, lang), for each
-    of the ``LANGUAGES`` - 1 languages with most of them and for ``OTHER``, all
-    together. ``lang`` also says which documents: ``en`` all of them, ``en 0``
-    and ``en 1`` one half."""
-    sized = trusted.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    named = [r["lang"] for r in sized.orderBy(F.desc("docs"), "lang").limit(LANGUAGES - 1).collect()]
-    lang = F.when(F.col("lang").isin(named), F.col("lang")) if named else F.lit(None).cast("string")
-    counted = trusted.select("text", lang.alias("lang"), _half("doc_id").alias("half")).mapInArrow(
+    language and for ``OTHER``, all together. ``lang`` also says which documents:
+    ``en`` all of them, ``en 0`` and ``en 1`` one half."""
+    counted = trusted.select("text", "lang", _half("doc_id").alias("half")).mapInArrow(
         _count, "lang string, half int, code long, n long"
     )
     halves = counted.groupBy("lang", "half", "code").agg(F.sum("n").alias("n"))
@@ -160,7 +164,7 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     cuts = kinds.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # one row for each of at most LANGUAGES languages
+    # one row for each model
     rows = counts.join(F.broadcast(cuts), "lang").select(
         "lang", "code", F.floor(F.col("code") / SYMBOLS).alias("context"), "n", cut.alias("cut")
     )
@@ -242,6 +246,32 @@ def _score(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch
         )
 
 
+def _scored(rows: DataFrame, counts: DataFrame, known: set[str]) -> DataFrame:
+    """The losses of all rows, ``LANGUAGES`` - 1 languages at once, which bounds
+    what the driver and a broadcast hold. Rows of languages without a model go
+    with the first of these blocks."""
+    halves = ("", " 0", " 1")
+    langs = sorted({x[:-2] for x in known if x.endswith(halves[1:])} - {OTHER})
+    step = LANGUAGES - 1
+    found = None
+    for at in range(0, max(1, len(langs)), step):
+        block = langs[at : at + step]
+        names = [x + h for x in (*block, OTHER) for h in halves]
+        table = model_rows(counts.filter(F.col("lang").isin(names))).toArrow()
+        models = rows.sparkSession.sparkContext.broadcast(dense_model(table))
+        others = langs[step:]
+        own = F.col("lang").isin(block) if at else (F.col("lang").isNull() | ~F.col("lang").isin(others)) if others else F.lit(True)
+        part = stage_table(
+            rows.filter(own).mapInArrow(
+                partial(_score, models=models),
+                "doc_id long, text_id long, lang string, model string, half int, n_symbols long, nats double, held_out double",
+            )
+        )
+        models.destroy()  # the scores are written
+        found = part if found is None else found.union(part)
+    return found
+
+
 def _with_words(base: DataFrame, scored: DataFrame, trusted: DataFrame) -> DataFrame:
     """The scored rows with n_words and word_nats. A text is judged once
     for each model, and its score is joined to all rows that have it."""
@@ -281,19 +311,12 @@ def judge_quality(
     # the ids grow with the corpus: a shuffle at every size, never a broadcast
     trusted = base.join(trusted_ids.hint("shuffle_hash"), "doc_id", "left_semi").filter("length(text) > 0")
     counts = stage(ngram_counts(trusted))
-    rows = model_rows(counts).toArrow()  # bounded, see above
-    if not rows.num_rows:
+    known = {r["lang"] for r in counts.select("lang").distinct().collect()}  # a name for each model
+    if not known:
         nothing = F.lit(None).cast("double")
         n = F.lit(None).cast("long")
         return base.select("doc_id", "lang", n.alias("n_symbols"), nothing.alias("perplexity"), nothing.alias("lowest"), nothing.alias("highest"), F.lit(True).alias("kept"), n.alias("n_words"), nothing.alias("word_perplexity"), nothing.alias("word_lowest"), nothing.alias("word_highest"))
-    models = docs.sparkSession.sparkContext.broadcast(dense_model(rows))
-    scored = stage_table(
-        base.withColumn("half", _half("doc_id")).withColumn("text_id", word_grams.text_id()).mapInArrow(
-            partial(_score, models=models),
-            "doc_id long, text_id long, lang string, model string, half int, n_symbols long, nats double, held_out double",
-        )
-    )
-    models.destroy()  # the scores are written
+    scored = _scored(base.withColumn("half", _half("doc_id")).withColumn("text_id", word_grams.text_id()), counts, known)
     scored = stage_table(_with_words(base, scored, trusted))
     reference = scored.join(trusted_ids, "doc_id", "left_semi").filter("n_symbols > 0")
     # the mean of a short document varies more; its allowance is taken off

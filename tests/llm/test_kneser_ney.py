@@ -94,6 +94,25 @@ def test_no_labels_repeats_and_empty(spark):
     assert kn.judge_quality(docs.limit(0), some).collect() == []
 
 
+def test_every_language_has_its_own_model(spark):
+    """The smallest language does not depend on how many others there are."""
+    texts, langs = [], []
+    for number in range(kn.LANGUAGES + 1):
+        texts += [f"{t} {'abcdefghijklmnopqrstuvwxyz'[number] * 5}" for t in TEXTS]
+        langs += [f"l{number:02d}"] * len(TEXTS)
+    texts += TEXTS[:4]
+    langs += ["small"] * 4
+    ids = range(len(texts))
+    labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    docs = documents(spark, texts, langs=langs)
+    columns = ("doc_id", "perplexity", "lowest", "highest", "word_perplexity")
+    every = {r.doc_id: r for r in kn.judge_quality(docs, labels).select(*columns).collect()}
+    alone = kn.judge_quality(docs.filter("lang = 'small'"), labels).select(*columns).collect()
+    assert len(every) == len(texts) and len(alone) == 4
+    for r in alone:
+        assert np.allclose(r[:4], every[r.doc_id][:4], rtol=1e-3)
+
+
 @pytest.fixture(scope="module")
 def held_out(spark):
     """Half of the labels train, the others judge."""
