@@ -9,7 +9,8 @@ retrieval.
    items together, where the few items have as much weight as all passages.
    With a random start, two passes over the passages compute A'(A Q); tasks add
    up their own products, and Spark sums them by term.
-4. Passages and items are compared by cosine in that space.
+4. Passages and items are compared by cosine in that space, relative to the
+   share of the item that the space holds.
 5. For the candidates, the longest common subsequence of the item and the words
    around the passage, as a share of the item, decides, together with the
    answer: the item's last words have to be there, in order.
@@ -32,12 +33,12 @@ from pyspark.sql import functions as F
 from clearlane.llm import tokens as T
 from clearlane.operators.staging import stage_table
 
-ITEMS = 512
 PASSAGE = 32
 STEP = 16
 # words before and after a passage in which the rest of an item is looked for
 AROUND = 40
 RANK = 256
+ITEMS = RANK // 2  # half of the weight is the items', so a block fits the directions
 OVERSAMPLING = 16
 # words in more than this share of documents, and in more than ``FEW``, are left
 # out of the vectors, but for the rarest words of each item
@@ -291,7 +292,9 @@ def _block_leaks(base: DataFrame, ids: list[int], texts: list[str], answers: lis
     latent = np.zeros((len(ids), basis.shape[1]))
     latent[rows] = _times(at, term, value, len(rows), basis)
     length = np.linalg.norm(latent, axis=1, keepdims=True)
-    latent = np.divide(latent, length, out=np.zeros_like(latent), where=length > 0)
+    # the directions hold a part of an item only, and the same part of a copy's
+    # passage; divided by its square, a copy has cosine 1 at any rank
+    latent = np.divide(latent, length**2, out=np.zeros_like(latent), where=length > 1e-6)
     answer_words = [a if len(a) else item[-ANSWER_WORDS:] for a, item in zip(given, vocabulary.items, strict=True)]
     compact = (basis.astype(np.float32), latent.astype(np.float32))
     shared = context.broadcast((vocabulary, *compact, ids, answer_words))

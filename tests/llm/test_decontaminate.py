@@ -74,6 +74,24 @@ def test_blocks_of_items_give_the_same(spark):
     assert len(one ^ many) <= 0.05 * len(one)
 
 
+def test_full_block_of_items(spark):
+    """More items than directions, one reworded copy of each."""
+    rng = random.Random(4)
+    items = [prose((4, i), rng.randrange(15, 60), 6000) for i in range(2 * decontaminate.RANK)]
+    texts, expected = [], set()
+    for i, item in enumerate(items):
+        body, answer = item[: -decontaminate.ANSWER_WORDS], item[-decontaminate.ANSWER_WORDS :]
+        copy = [w if rng.random() > 0.2 else f"w{rng.randrange(6000)}" for w in body if rng.random() > 0.2] + answer
+        if plain_lcs(item, copy) >= 0.5 * len(item):
+            expected.add((i, i))
+        ws = prose((4, "d", i), 60, 6000)
+        texts.append(" ".join(ws[:30] + copy + ws[30:]))
+    texts += [" ".join(prose((4, "b", i), 150, 6000)) for i in range(1000)]
+    got = pairs(decontaminate.leaks(documents(spark, texts), items_frame(spark, [" ".join(x) for x in items])))
+    assert len(expected) >= 450
+    assert len(got & expected) >= 0.97 * len(expected)
+
+
 def test_lcs_by_bits():
     rng = np.random.default_rng(0)
     for _ in range(200):
