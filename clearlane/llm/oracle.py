@@ -88,3 +88,41 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesc
     sha256(coalesce(k, '')) AS kept_sha256
 FROM documents d LEFT JOIN total ON total.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+_GRAMS = "\nUNION ALL\n".join(
+    f"SELECT lang, {m} AS m, list_slice(ws, i, i + {m - 1}) AS p, count(*) AS f "
+    f"FROM (SELECT lang, ws, unnest(range(1, len(ws) - {m} + 2)) AS i FROM words) GROUP BY ALL"
+    for m in range(1, 6)
+)
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+grams AS ({_GRAMS}),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM words GROUP BY lang),
+candidates AS (SELECT lang, m, p, f AS a FROM grams WHERE m >= 2 AND f >= 100),
+inside AS (
+  SELECT lang, p[1:m - 1] AS p, a FROM candidates WHERE m > 2
+  UNION ALL SELECT lang, p[2:m], a FROM candidates WHERE m > 2),
+longer AS (SELECT lang, p, max(a) AS a FROM inside GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer x ON x.lang = c.lang AND x.p = c.p
+  WHERE x.a IS NULL OR x.a < c.a),
+cuts AS (
+  SELECT lang, p, a, k, p[1:k] AS head, p[k + 1:m] AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, h.f AS l, t.f AS r, n.n,
+         ((1000::HUGEINT * c.a * n.n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts c JOIN grams h ON h.lang = c.lang AND h.p = c.head
+  JOIN grams t ON t.lang = c.lang AND t.p = c.tail JOIN total n ON n.lang = c.lang),
+best AS (
+  SELECT *, array_to_string(p, ' ') AS phrase FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""

@@ -16,6 +16,7 @@ from clearlane.llm import (
     minhash,
     mixing,
     oracle,
+    phrases,
     sharding,
     simhash,
     substring,
@@ -71,6 +72,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_sharding,
         op10_quality,
+        op11_collocations,
     )
 }
 ORACLE: dict[str, str] = {
@@ -91,4 +97,5 @@ ORACLE: dict[str, str] = {
     "op3_minhash_near_dedup": oracle.NEAR,
     "op5_line_dedup": oracle.LINES,
     "op8_url_filter": oracle.URLS,
+    "op11_collocations": oracle.COLLOCATIONS,
 }
