@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ SLICE_BYTES = 4 << 20
 # pairs of a tile from which on it is counted by address
 DENSE = TILE * TILE // 32
 FAN = 64
+# words of a block of the word table
+BLOCK_WORDS = 4096
 WAITING = 8 * SLICE_BYTES
 
 _SPACE = np.zeros(256, bool)
@@ -138,16 +141,72 @@ def _size(table: DataFrame) -> int:
     return n
 
 
+def _bucket(words: pa.Array, buckets: int) -> np.ndarray:
+    """The block of the word table that a word is in."""
+    data, offsets = T.text_bytes(words)
+    start, end = offsets[:-1], offsets[1:]
+    code = T.mix(T.Rolling(T.BYTE_VALUE[data], T.BASES[0]).of(start, end) + (end - start).astype(np.uint64))
+    return (code % np.uint64(buckets)).astype(np.int64)
+
+
+def _word_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("lang", "phrase", "id")), pa.array(_bucket(batch.column("phrase"), buckets))], names=["lang", "phrase", "id", "bucket"]
+            )
+
+
+def _dictionary_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(slice, lang, bucket, locals, words): the dictionary of each slice, cut as
+    the word table is."""
+    for batch in batches:
+        for number, lang, words in zip(*(batch.column(c) for c in ("slice", "lang", "words")), strict=True):
+            words = words.values
+            if not len(words):
+                continue
+            bucket = _bucket(words, buckets)
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            ordered = bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            bounds = np.append(first, len(order))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(first), number.as_py(), np.int64)),
+                    pa.array([lang.as_py()] * len(first), pa.string()),
+                    pa.array(ordered[first]),
+                    _binary(order, bounds).cast(pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words.take(pa.array(order))),
+                ],
+                names=["slice", "lang", "bucket", "locals", "words"],
+            )
+
+
+def _known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block of a dictionary, the words of the table, with their number."""
+    for batch in batches:
+        for number, own, words, known in zip(*(batch.column(c) for c in ("slice", "locals", "words", "known")), strict=True):
+            phrases, ids = known.values.flatten()
+            at = pc.fill_null(pc.index_in(words.values, value_set=phrases), -1).to_numpy(zero_copy_only=False)
+            if (at >= 0).any():
+                local = np.frombuffer(own.as_py(), np.int32)[at >= 0]
+                found = ids.to_numpy(zero_copy_only=False)[at[at >= 0]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number.as_py()], pa.int64()), pa.array([local.tobytes()], pa.binary()), pa.array([found.tobytes()], pa.binary())],
+                    names=["slice", "keys", "ids"],
+                )
+
+
 def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sequences of a slice's own numbers as sequences of the numbers of words;
     words that have none, and -1, end a run."""
     for batch in batches:
         for number, seq, size, found in zip(*(batch.column(c) for c in ("slice", "seq", "size", "found")), strict=True):
-            seq = np.frombuffer(seq.as_py(), np.int32)
             ids = np.full(size.as_py() + 1, -1, np.int64)
-            pairs = found.values.flatten()
-            ids[pairs[0].to_numpy(zero_copy_only=False)] = pairs[1].to_numpy(zero_copy_only=False)
-            yield _sequence(number.as_py(), ids[seq])  # -1 is the last place, which stays -1
+            for part in found.as_py():
+                ids[np.frombuffer(part["keys"], np.int32)] = np.frombuffer(part["ids"], np.int32)
+            # -1 is the last place, which stays -1
+            yield _sequence(number.as_py(), ids[np.frombuffer(seq.as_py(), np.int32)])
 
 
 def _sequence(number: int, ids: np.ndarray) -> pa.RecordBatch:
@@ -309,6 +368,12 @@ def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _sequence(number.as_py(), np.where(both & (keys[at] == key), ids[at], -1))
 
 
+def _replies(found: DataFrame) -> DataFrame:
+    """All answers to a slice, at most one for each of its words or pairs, for a
+    join by shuffle at every size."""
+    return found.groupBy("slice").agg(F.collect_list(F.struct("keys", "ids")).alias("found")).hint("merge")
+
+
 def _longer(seqs: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """The slices as sequences of the frequent pairs (id, left, right)."""
     left, right = F.col("left"), F.col("right")
@@ -317,9 +382,8 @@ def _longer(seqs: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
         .groupBy("tile")
         .agg(F.array_sort(F.collect_list("pair")).alias("found"))  # at most TILE * TILE
     )
-    found = blocks.select("slice", "tile", "cells").join(by_tile, "tile").mapInArrow(_found, "slice long, keys binary, ids binary")
-    replies = found.groupBy("slice").agg(F.collect_list(F.struct("keys", "ids")).alias("found"))  # at most the pairs of a slice
-    return stage_table(seqs.join(replies, "slice").mapInArrow(_recode_pairs, "slice long, seq binary"))
+    found = blocks.select("slice", "tile", "cells").join(by_tile.hint("merge"), "tile").mapInArrow(_found, "slice long, keys binary, ids binary")
+    return stage_table(seqs.join(_replies(found), "slice").mapInArrow(_recode_pairs, "slice long, seq binary"))
 
 
 def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
@@ -337,17 +401,19 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, lon
     )
     words = _numbered(counts, ["phrase"])
     tables = [words]
-    if not _size(words):
+    n_words = _size(words)
+    if not n_words:
         return tables, total
-    own = slices.select("slice", "lang", F.posexplode("words").alias("local", "phrase"))
-    replies = (
-        own.join(words.select("lang", "phrase", "id"), ["lang", "phrase"])
-        .groupBy("slice")
-        .agg(F.collect_list(F.struct("local", "id")).alias("found"))  # at most the words of a slice
-    )
-    seqs = stage_table(
-        slices.select("slice", "seq", F.size("words").alias("size")).join(replies, "slice").mapInArrow(_recode_words, "slice long, seq binary")
+    buckets = -(-n_words // BLOCK_WORDS)
+    blocked = words.select("lang", "phrase", "id").mapInArrow(partial(_word_blocks, buckets=buckets), "lang string, phrase string, id long, bucket long")
+    table = blocked.groupBy("lang", "bucket").agg(F.collect_list(F.struct("phrase", "id")).alias("known"))  # some BLOCK_WORDS
+    own = slices.select("slice", "lang", "words").mapInArrow(
+        partial(_dictionary_blocks, buckets=buckets), "slice long, lang string, bucket long, locals binary, words array<string>"
     )
+    found = own.join(table.hint("merge"), ["lang", "bucket"]).mapInArrow(_known_words, "slice long, keys binary, ids binary")
+    replies = _replies(found)
+    own_numbers = slices.select("slice", "seq", F.size("words").alias("size"))
+    seqs = stage_table(own_numbers.join(replies, "slice").mapInArrow(_recode_words, "slice long, seq binary"))
     n_slices = seqs.count()
     for m in range(2, longest + 1):
         blocks = seqs.mapInArrow(_blocks, "slice long, tile long, cells binary, ns binary")

@@ -92,6 +92,7 @@ def test_small_slices_tiles_and_steps_give_the_same(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(phrases._added(cells, counted), by_address, strict=True))
     monkeypatch.undo()
     monkeypatch.setattr(phrases, "FAN", 2)
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 3)
     texts, langs = corpus(9, 40)
     df = documents(spark, texts, langs=langs).repartition(13)
     assert result(phrases.collocations(df, least=4)) == brute(list(zip(texts, langs, strict=True)), 4, 5, 2000)
