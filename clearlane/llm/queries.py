@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from clearlane.llm import (
     decontaminate,
+    hard_negatives,
     kneser_ney,
+    language,
     licenses,
     lines,
     minhash,
@@ -76,6 +78,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, by a checksum of the id, is not learned from."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    return language.predict(_table(spark, sf_dir, "documents"), learn)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has the next label, every fiftieth is an anchor."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -90,6 +105,8 @@ QUERIES: dict[str, Query] = {
         op9_sharding,
         op10_quality,
         op11_collocations,
+        op12_language_id,
+        op13_hard_negatives,
     )
 }
 ORACLE: dict[str, str] = {
@@ -98,4 +115,5 @@ ORACLE: dict[str, str] = {
     "op5_line_dedup": oracle.LINES,
     "op8_url_filter": oracle.URLS,
     "op11_collocations": oracle.COLLOCATIONS,
+    "op13_hard_negatives": oracle.HARD_NEGATIVES,
 }
