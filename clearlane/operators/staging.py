@@ -44,17 +44,23 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the checkpoint folder, for one table. :func:`release`
+    removes it."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write a result that several passes read as a columnar table in the
     checkpoint folder. Each pass then reads only its columns, and Spark knows
     the size. :func:`release` removes the tables of a finished job."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.mode("errorifexists").parquet(path)
-    _tables[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:

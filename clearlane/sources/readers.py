@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,57 @@ def read_delimited(
     return frame.select(*[_typed(f.name, f.dataType) for f in schema.fields])
 
 
+@dataclass(frozen=True)
+class Scan:
+    """Rows of a text file that could be read, and the others: file, record, reason."""
+
+    good: DataFrame
+    rejected: DataFrame
+
+
+def scan_delimited(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    sep: str = ",",
+    saved_index: bool = False,
+    **options: str,
+) -> Scan:
+    """``read_delimited`` that does not stop at a bad row. A row with too many or
+    too few cells, or with a cell of the wrong type, is kept apart with the name of
+    its file and what is wrong; the others are read. The columns of all files have
+    to be those of the header, in one order; a missing column is an error, as it
+    concerns every row."""
+    def options_of(reader):
+        for key, value in {"sep": sep, "header": "true", "enforceSchema": "false", **options}.items():
+            reader = reader.option(key, value)
+        return reader
+
+    header = options_of(spark.read.option("inferSchema", False)).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(header)}")
+    if saved_index and len(header) <= len(schema.fields):
+        raise ValueError(f"{path} has no column of row numbers")
+    damaged = "__damaged"
+    text = T.StructType([*[T.StructField(c, T.StringType()) for c in header], T.StructField(damaged, T.StringType())])
+    # all columns are parsed, else a row's number of cells would not be checked
+    reader = options_of(spark.read.schema(text)).option("mode", "PERMISSIVE").option("columnPruning", "false")
+    rows = reader.option("columnNameOfCorruptRecord", damaged).csv(path).select("*", F.col("_metadata.file_name").alias("__file"))
+
+    wrong = [F.when(F.col(damaged).isNotNull(), F.lit("number of cells"))]
+    for field in schema.fields:
+        if not isinstance(field.dataType, T.StringType):
+            cell = F.col(f"`{field.name}`")
+            bad = cell.isNotNull() & cell.try_cast(field.dataType).isNull()
+            wrong.append(F.when(bad, F.concat(F.lit(f"column {field.name}, not {field.dataType.simpleString()}: "), cell)))
+    judged = rows.withColumn("__reason", F.concat_ws("; ", *wrong))
+    good = judged.filter("__reason = ''").select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    record = F.coalesce(F.col(damaged), F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in header]))
+    rejected = judged.filter("__reason <> ''").select(F.col("__file").alias("file"), record.alias("record"), F.col("__reason").alias("reason"))
+    return Scan(good, rejected)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

@@ -16,22 +16,36 @@ from pyspark.sql import functions as F
 from clearlane import constants as K
 
 Tables = Mapping[str, DataFrame]
+# column of a claim fact that is stored by month
+SERVICE_MONTH = "service_month"
 
 
-def _between(column: str, window: tuple[str, str]):
+def between_days(column: str, window: tuple[str, str]):
     """Closed range; on a timestamp the last day ends at its first instant."""
     return F.col(column).between(
         F.lit(window[0]).cast("timestamp_ntz"), F.lit(window[1]).cast("timestamp_ntz")
     )
 
 
-def eligible_claims(tables: Tables, window: tuple[str, str] = K.CLAIM_WINDOW) -> DataFrame:
+def eligible_claims(
+    tables: Tables,
+    window: tuple[str, str] = K.CLAIM_WINDOW,
+    with_month: bool = False,
+    months: Sequence[str] | None = None,
+) -> DataFrame:
     """Paid, non-capitated professional claims of the super region with the
-    specialty and procedure code names."""
+    specialty and procedure code names, and the service month if wanted. A fact
+    that is stored by service month is read for the months of the period only.
+    ``months`` (``2019-02``) asks for some months only."""
     fact = tables["fact_claim"].filter((F.col("capitation_flag") == 0) & (F.col("hcp_cost") > 0))
-    dates = tables["dim_date"].filter(_between("date_bk", window)).select(
-        F.col("date_sk").alias("date_service_from_sk")
+    day = ["date_service_from_sk", *(c for c in fact.columns if c == SERVICE_MONTH)]
+    dates = tables["dim_date"].filter(between_days("date_bk", window)).select(
+        F.col("date_sk").alias("date_service_from_sk"),
+        F.date_format("date_bk", "yyyy-MM").alias(SERVICE_MONTH),
     )
+    if months is not None:
+        dates = dates.filter(F.col(SERVICE_MONTH).isin(*months))
+    dates = dates.select(*dict.fromkeys([*day, *([SERVICE_MONTH] if with_month else [])]))
     funds = tables["dim_fund_type"].filter(F.col("fund_type_name") == K.FUND_TYPE).select("fund_type_sk")
     markets = tables["dim_market"].filter(F.col("super_region_name") == K.SUPER_REGION)
     # one hierarchy key may belong to several markets: inner join keeps that fan-out
@@ -42,7 +56,7 @@ def eligible_claims(tables: Tables, window: tuple[str, str] = K.CLAIM_WINDOW) ->
     )
     return (
         fact.join(funds, "fund_type_sk")
-        .join(dates, "date_service_from_sk")
+        .join(dates, day)
         .join(sites, "site_market_hierarchy_sk")
         .join(tables["dim_place_of_service"], "place_of_service_sk", "left_semi")
         .join(tables["dim_specialty"], "specialty_sk")
@@ -53,6 +67,7 @@ def eligible_claims(tables: Tables, window: tuple[str, str] = K.CLAIM_WINDOW) ->
             F.col("specialty_long_name").alias("specialty"),
             F.col("procedure_code").alias("cpt_code"),
             "hcp_cost",
+            *([SERVICE_MONTH] if with_month else []),
         )
     )
 
@@ -84,7 +99,7 @@ def code_names(tables: Tables) -> DataFrame:
     )
 
 
-def _headers(
+def resolved_headers(
     tables: Tables,
     window: tuple[str, str],
     communities: Sequence[str],
@@ -115,7 +130,7 @@ def _headers(
     )
     headers = (
         tables["referral_hdr"]
-        .filter(_between("dt_received", window))
+        .filter(between_days("dt_received", window))
         .join(specialties, "specialty_ref_to_provider_key")
         .join(statuses, "referral_status_key")
         .join(types, "ref_type_key")
@@ -140,12 +155,19 @@ def _headers(
     )
 
 
-_HEADER_COLUMNS = (
+HEADER_COLUMNS = (
     "auth_number", "ref_type_key", "ppl", "date_received", "date_decision", "ref_type",
     "status_cat", "status_name", "specialty", "region",
 )
 
 
+def known_details(tables: Tables, keep_name_fanout: bool = False) -> DataFrame:
+    """Detail lines whose code has a name."""
+    codes = tables["lu_px_cpt"].select(F.col("procedure_code").alias("px_code"))
+    detail = tables["referral_det"].select("referral_key", "px_code", "units")
+    return detail.join(codes, "px_code", "inner" if keep_name_fanout else "left_semi").select(*detail.columns)
+
+
 def referral_lines(
     tables: Tables,
     window: tuple[str, str] = K.REFERRAL_WINDOW,
@@ -159,13 +181,11 @@ def referral_lines(
     only has to contain the code; ``keep_name_fanout`` repeats the line per
     name as a plain inner join does.
     """
-    codes = tables["lu_px_cpt"].select(F.col("procedure_code").alias("px_code"))
-    detail = tables["referral_det"].select("referral_key", "px_code", "units")
-    detail = detail.join(codes, "px_code", "inner" if keep_name_fanout else "left_semi")
-    headers = _headers(tables, window, communities, with_priority)
+    detail = known_details(tables, keep_name_fanout)
+    headers = resolved_headers(tables, window, communities, with_priority)
     extra = ["urgent"] if with_priority else []
     return detail.join(headers, "referral_key").select(
-        F.col("px_code").alias("cpt_code"), *_HEADER_COLUMNS, *extra, "units", "lob"
+        F.col("px_code").alias("cpt_code"), *HEADER_COLUMNS, *extra, "units", "lob"
     )
 
 
@@ -175,4 +195,4 @@ def referral_headers(
     communities: Sequence[str] = K.COMMUNITIES,
 ) -> DataFrame:
     """One row per referral, without procedure lines and priority."""
-    return _headers(tables, window, communities, with_priority=False).select(*_HEADER_COLUMNS, "lob")
+    return resolved_headers(tables, window, communities, with_priority=False).select(*HEADER_COLUMNS, "lob")

@@ -116,17 +116,6 @@ def test_list_cells_become_text(spark, tmp_path):
     assert spark.read.option("header", True).option("sep", "|").csv(path).first()["px_list"] == "1,2"
 
 
-def test_lines_are_stored_by_month(spark, tmp_path):
-    path = str(tmp_path / "lines")
-    frame = lines(spark, {}, {"date_received": datetime(2019, 2, 3)}, {"date_received": None})
-    assert sinks.write_referral_lines(frame, path)
-    assert sinks.write_referral_lines(frame, path) is False
-    stored = spark.read.parquet(path)
-    assert stored.count() == 3
-    plan = stored.filter("month_received = '2019-02'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month_received" in plan
-
-
 def test_sql_file_runs_on_given_tables(spark, tmp_path):
     path = tmp_path / "q.sql"
     path.write_text("SELECT cpt_code\n FROM lines\n WHERE specialty = :wanted", encoding="utf-8")
