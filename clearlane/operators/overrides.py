@@ -3,8 +3,13 @@
 An override plan is data: a tuple of steps applied first to last, the last
 writer winning. Two kinds behave differently and must not be merged: *force*
 steps always rewrite reason and source, *decision sheets* only where their
-decision differs from the current one. Each step is one projection (a sheet
-adds one join of grouped tables), so a plan never touches the referral lines.
+decision differs from the current one.
+
+A whole plan is one table of rules: the lists, sheets and conditions of all steps as
+rows with the number of the step and the keys they are for, where a key may be
+any. The groups meet the rules in one join and fold theirs in the order of the
+steps, however many steps and sheets a plan has. The functions for a single step
+say what a step does; a plan never touches the referral lines.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -202,22 +207,98 @@ PLAN_M: tuple[Step, ...] = (
 )
 
 
+_ALL_KEYS = 7  # the mask of a rule for one specialty, code and network flag
+_RULE = "step int, mask int, specialty string, cpt_code string, is_ppl int, decision int, reason string, source string, sheet boolean, max_units long"
+
+
+def _fixed_rules(plan: Sequence[Step], low_volume: int) -> list[tuple]:
+    """The rows of all steps but the sheets. A key that is any is left empty, and
+    its bit in the mask is 0."""
+
+    def row(step, specialty, code, is_ppl, decision, reason, source, max_units=None) -> tuple:
+        mask = (specialty is not None) + 2 * (code is not None) + 4 * (is_ppl is not None)
+        return (step, mask, specialty or "", code or "", -1 if is_ppl is None else is_ppl, decision, reason, source, False, max_units)
+
+    rows = []
+    for number, step in enumerate(plan):
+        match step:
+            case Codes():
+                for code in dict.fromkeys(step.codes):
+                    for specialty in (None,) if step.specialties is None else dict.fromkeys(step.specialties):
+                        rows.append(row(number, specialty, code, step.is_ppl, step.decision, K.REASON_CODE_LIST, K.SOURCE_CLINICAL))
+            case Specialties():
+                for specialty in dict.fromkeys(step.specialties):
+                    rows.append(row(number, specialty, None, None, 0, step.reason, step.source))
+            case LowVolume():
+                rows.append(row(number, None, None, None, 0, K.REASON_LOW_VOLUME, step.source, low_volume))
+            case OutOfNetwork():
+                rows.append(row(number, None, None, 0, 0, K.REASON_OUT_OF_NETWORK, step.source))
+    return rows
+
+
+def _sheet_rules(plan: Sequence[Step], sheets: Mapping[str, DataFrame]) -> DataFrame | None:
+    """All sheets of a plan: one decision per step and group, the latest by date,
+    ties broken by the remaining columns."""
+    used = [(number, sheets[step.name].withColumnRenamed(step.reason, "reason")) for number, step in enumerate(plan) if isinstance(step, Sheet)]
+    if not used:
+        return None
+    rows = None
+    for number, sheet in used:
+        part = sheet.withColumn("step", F.lit(number))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    rest = [c for c in rows.columns if c not in (*GROUP, "step", "decision_date")]
+    order = Window.partitionBy("step", *GROUP).orderBy(F.col("decision_date").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in rest])
+    latest = rows.withColumn("__place", F.row_number().over(order)).filter("__place = 1 AND decision IS NOT NULL")
+    return latest.select(
+        "step", F.lit(_ALL_KEYS).alias("mask"), *GROUP, "decision", "reason", F.lit(K.SOURCE_CLINICAL).alias("source"), F.lit(True).alias("sheet"), F.lit(None).cast("long").alias("max_units")
+    )
+
+
+def plan_rules(spark: SparkSession, plan: Sequence[Step], sheets: Mapping[str, DataFrame], low_volume: int = K.LOW_VOLUME) -> DataFrame:
+    """A plan as a table of rules, in no order; ``step`` says when a rule counts."""
+    rules = spark.createDataFrame(_fixed_rules(plan, low_volume), _RULE)
+    decided = _sheet_rules(plan, sheets)
+    return rules if decided is None else rules.unionByName(decided)
+
+
 def apply_plan(
     df: DataFrame,
     plan: Sequence[Step],
     sheets: Mapping[str, DataFrame],
     low_volume: int = K.LOW_VOLUME,
 ) -> DataFrame:
-    for step in plan:
-        match step:
-            case Codes():
-                df = override_codes(df, step.codes, step.specialties, step.decision, is_ppl=step.is_ppl)
-            case Specialties():
-                df = override_specialties(df, step.specialties, step.reason, step.source)
-            case Sheet():
-                df = overlay_decisions(df, sheets[step.name], step.reason)
-            case LowVolume():
-                df = override_low_volume(df, low_volume, step.source)
-            case OutOfNetwork():
-                df = override_out_of_network(df, step.source)
-    return df
+    """``df`` (one row per group, as ``start_decisions`` gives it) after all steps
+    of ``plan``. A group without a specialty, code or network flag meets the rules
+    in which that key is any."""
+    rules = plan_rules(df.sparkSession, plan, sheets, low_volume)
+    any_key = {"specialty": "", "cpt_code": "", "is_ppl": -1}
+    keys = lambda mask: [
+        (F.col(c) if mask >> bit & 1 else F.lit(any_key[c]).cast(df.schema[c].dataType)).alias(f"__{c}") for bit, c in enumerate(GROUP)
+    ]
+    # a group asks once for every combination of keys that some rule has
+    masks = sorted({r[1] for r in _fixed_rules(plan, low_volume)} | {_ALL_KEYS})
+    asked = df.withColumn("__k", F.explode(F.array(*[F.struct(F.lit(m).alias("__mask"), *keys(m)) for m in masks]))).select(*df.columns, "__k.*")
+    rule = F.struct("step", "decision", "reason", "source", "sheet", "max_units")
+    met = rules.select(F.col("mask").alias("__mask"), *[F.col(c).alias(f"__{c}") for c in GROUP], rule.alias("__rule"))
+    joined = asked.join(met, ["__mask", *[f"__{c}" for c in GROUP]], "left")
+    others = [c for c in df.columns if c not in GROUP]
+    # the rules of one group: at most one of a step and a sheet, and of each mask
+    folded = joined.groupBy(*GROUP).agg(*[F.first(c).alias(c) for c in others], F.array_sort(F.collect_list("__rule")).alias("__rules"))
+
+    def step(now: Column, rule: Column) -> Column:
+        applies = rule["max_units"].isNull() | F.coalesce(F.col("units") <= rule["max_units"], F.lit(False))
+        differs = F.coalesce(rule["decision"] != now["final_decision"], F.lit(False))
+        rewrites = F.when(rule["sheet"], differs).otherwise(applies)
+        decides = F.when(rule["sheet"], F.lit(True)).otherwise(applies)
+        return F.struct(
+            F.when(rewrites, rule["source"]).otherwise(now["dec_source"]).alias("dec_source"),
+            F.when(rewrites, rule["reason"]).otherwise(now["overrule_rsn"]).alias("overrule_rsn"),
+            F.when(decides, rule["decision"]).otherwise(now["final_decision"]).alias("final_decision"),
+        )
+
+    state = ("dec_source", "overrule_rsn", "final_decision")
+    kinds = "struct<dec_source:string,overrule_rsn:string,final_decision:int>"
+    start = F.struct(*[F.col(c) for c in state]).cast(kinds)
+    last = F.aggregate("__rules", start, lambda now, rule: step(now, rule).cast(kinds))
+    done = folded.withColumn("__last", last)
+    return done.select(*[F.col(f"__last.{c}").alias(c) if c in state else F.col(c) for c in df.columns])

@@ -125,3 +125,45 @@ def test_result_does_not_depend_on_row_order(spark):
     rng.shuffle(rows)
     again = by(O.apply_plan(_started(spark, *rows), O.PLAN_M, sheets), "specialty", "cpt_code", "is_ppl")
     assert first == again
+
+
+def test_a_plan_meets_its_rules_in_one_join(spark):
+    sheets = _sheets(spark, {"decision": 0, "reason": "Upcoding"})
+    for plan in (O.PLAN_A, O.PLAN_B, O.PLAN_C, O.PLAN_M):
+        text = O.apply_plan(_started(spark, {}), plan, sheets)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Join ") == 1 and text.count("Window [") == 1
+
+
+def test_fold_equals_the_steps_one_by_one(spark):
+    rng = random.Random(11)
+    specialties, codes = ["PODIATRY", "DERMATOLOGY", "CARDIOLOGY", "PHARMACY", None], ["11055", "10060", "99203", None]
+    rows, seen = [], set()
+    for _ in range(400):
+        key = rng.choice(specialties), rng.choice(codes), rng.choice([0, 1, None])
+        if key in seen:
+            continue
+        seen.add(key)
+        rows.append({"specialty": key[0], "cpt_code": key[1], "is_ppl": key[2], "units": rng.choice([5, 30, 31, 900]), "fin_aa_rec": rng.choice([0, 1])})
+    noted = [
+        {"specialty": s, "cpt_code": c, "is_ppl": p, "decision": rng.choice([0, 1, None]), "reason": f"r{rng.randrange(4)}", "decision_date": date(2019, 1, rng.randrange(1, 5))}
+        for s in specialties for c in codes for p in (0, 1) for _ in range(2)
+    ]
+    sheets = _sheets(spark, *noted)
+    start = _started(spark, *rows)
+    for plan in (O.PLAN_A, O.PLAN_B, O.PLAN_C, O.PLAN_M, ()):
+        want = start
+        for step in plan:
+            match step:
+                case O.Codes():
+                    want = O.override_codes(want, step.codes, step.specialties, step.decision, is_ppl=step.is_ppl)
+                case O.Specialties():
+                    want = O.override_specialties(want, step.specialties, step.reason, step.source)
+                case O.Sheet():
+                    want = O.overlay_decisions(want, sheets[step.name], step.reason)
+                case O.LowVolume():
+                    want = O.override_low_volume(want, source=step.source)
+                case O.OutOfNetwork():
+                    want = O.override_out_of_network(want, step.source)
+        got = O.apply_plan(start, plan, sheets)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
