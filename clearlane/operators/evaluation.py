@@ -10,7 +10,7 @@ from clearlane.functions.columns import flag, in_list, replace_values
 from clearlane.operators.cleaning import RULES_M, split_specialties
 from clearlane.operators.crosstab import frequency, margin_table
 from clearlane.operators.overrides import latest_decisions
-from clearlane.operators.ranking import quantile_bin
+from clearlane.operators.ranking import merged_sketch, quantile_bin, quantile_sketches
 from clearlane.operators.staging import bounded_left_join, keyed_left_join
 
 
@@ -32,8 +32,18 @@ def prepare_predictions(predictions: DataFrame) -> DataFrame:
     )
 
 
-def confidence_decile(predictions: DataFrame, column: str = "confidence") -> DataFrame:
-    return quantile_bin(predictions, column, K.DECILES, "decile")
+def confidence_sketches(predictions: DataFrame, column: str = "confidence") -> DataFrame:
+    """(month, sketch) of the candidates; sketches of new months can be added."""
+    by_month = predictions.withColumn("month", F.date_format("dt_prediction", "yyyy-MM"))
+    return quantile_sketches(by_month, column, "month")
+
+
+def confidence_decile(
+    predictions: DataFrame, column: str = "confidence", sketches: DataFrame | None = None
+) -> DataFrame:
+    """``sketches`` of the same candidates save one of the passes over them."""
+    sketch = None if sketches is None else merged_sketch(sketches)
+    return quantile_bin(predictions, column, K.DECILES, "decile", sketch)
 
 
 def in_network_decisions(decisions: DataFrame) -> DataFrame:

@@ -158,3 +158,33 @@ def test_edges_are_exact_on_many_rows(spark, kind):
     values = {"even": rng.random(60_000), "ties": np.round(rng.normal(size=60_000), 1), "few": rng.random(3)}[kind]
     frame = spark.createDataFrame([(float(v),) for v in values], "c double").repartition(5)
     assert ranking.quantile_edges(frame, "c", 10) == pytest.approx(list(np.quantile(values, np.arange(1, 10) / 10)), abs=1e-12)
+
+
+def test_merged_month_sketches_give_the_same_edges(spark):
+    rng = random.Random(8)
+    rows = [(f"2019-{1 + i % 5:02d}", rng.choice([rng.random(), float(rng.randint(0, 3)), None, float("nan")])) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "month string, x double").repartition(9)
+    sketch = ranking.merged_sketch(ranking.quantile_sketches(frame, "x", "month"))
+    values = [v for _, v in rows if v is not None and v == v]
+    want = [float(e) for e in np.quantile(values, [p / 10 for p in range(1, 10)])]
+    assert ranking.quantile_edges(frame, "x", 10, sketch) == pytest.approx(want, abs=1e-12)
+    assert ranking.quantile_edges(frame, "x", 10) == ranking.quantile_edges(frame, "x", 10, sketch)
+    nothing = frame.filter("x > 100")
+    assert ranking.quantile_edges(nothing, "x", 10, ranking.merged_sketch(ranking.quantile_sketches(nothing, "x", "month"))) == []
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """Sketches are right with high probability only; the counts show a miss."""
+    rng = random.Random(9)
+    values = [rng.random() for _ in range(5000)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    monkeypatch.setattr(ranking, "SKETCH", 8)
+    monkeypatch.setattr(ranking, "ROOM", 1e-6)
+    assert ranking.quantile_edges(frame, "x", 10) == pytest.approx([float(e) for e in np.quantile(values, [p / 10 for p in range(1, 10)])], abs=1e-12)
+
+
+def test_a_sketch_of_other_values_is_an_error(spark):
+    frame = spark.createDataFrame([(float(i),) for i in range(50)], "x double")
+    sketch = ranking.merged_sketch(ranking.quantile_sketches(frame.filter("x < 40"), "x"))
+    with pytest.raises(ValueError, match="not one of these values"):
+        ranking.quantile_edges(frame, "x", 10, sketch)
