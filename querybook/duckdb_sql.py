@@ -619,6 +619,30 @@ QUERIES |= {
     "cpt_short_name": "SELECT * FROM names",
     "referral_extract": "SELECT * FROM lines",
     "referral_extract_new": "SELECT * EXCLUDE (urgent) FROM lines_new",
+    "referral_extract_stored": "SELECT * FROM lines_q",
+    "referral_extract_bucketed": "SELECT * FROM lines",
+    "claims_cost_stats_stored": _round(
+        "(" + _stats_select("claim_rows_quarterly") + ")", 4, "sd_hcp_cost"
+    ),
+    "claims_cost_stats_monthly": _round("claim_stats", 4, "sd_hcp_cost"),
+    "code_summary_monthly": f"""
+      SELECT specialty, cpt_code, is_ppl, count(units) AS units, avg(is_autoapp) AS auto_rate,
+             avg(is_den) AS denial_rate, CAST(sum(1 - is_autoapp) AS BIGINT) AS units_man
+      FROM clean WHERE specialty IS NOT NULL
+        AND date_received BETWEEN {_ts(S.PART_WINDOW[0])} AND {_ts(S.PART_WINDOW[1])}
+      GROUP BY specialty, cpt_code, is_ppl""",
+    "text_lines_pipe": "SELECT * FROM lines",
+    "text_claims_comma": _round("claim_stats", 4, "sd_hcp_cost"),
+    "text_saved_index": "SELECT * FROM names",
+    "text_dates": """SELECT cpt_code, min(date_received) AS oldest, max(date_decision) AS newest,
+                            count(date_decision) AS decided FROM lines GROUP BY cpt_code""",
+    "table_round_trip": "SELECT * EXCLUDE (o_orderkey, urgent) FROM headers",
+    "text_scan_good": """SELECT CAST(l_shipdate AS DATE) AS decision_date, count(*) AS n, sum(l_quantity) AS units
+      FROM lineitem WHERE l_linenumber <> 7 AND l_returnflag <> 'R' GROUP BY 1""",
+    "text_scan_rejected": """
+      SELECT concat_ws('; ', CASE WHEN l_returnflag = 'R' THEN 'column decision_date, not date: unknown' END,
+                       CASE WHEN l_linenumber = 7 THEN 'column units, not double: n/a' END) AS reason, count(*) AS n
+      FROM lineitem WHERE l_linenumber = 7 OR l_returnflag = 'R' GROUP BY 1""",
     "referral_name_fanout": """SELECT l.cpt_code, l.specialty, CAST(sum(k) AS BIGINT) AS n, sum(units * k) AS units
       FROM lines l JOIN (SELECT cm.code, count(*) AS k FROM part p JOIN code_map cm ON cm.brand = p.p_brand
                          GROUP BY cm.code) c ON c.code = l.cpt_code GROUP BY 1, 2""",
@@ -770,6 +794,7 @@ QUERIES |= {
     "predictions_prepared": """SELECT referral_ident, ref_to_status, is_ppl, ref_to_specialty, px_code,
                                is_approved FROM predicted""",
     "confidence_decile": "SELECT referral_ident, px_code, confidence, decile FROM binned",
+    "confidence_decile_monthly": "SELECT referral_ident, px_code, confidence, decile FROM binned",
     "referral_cost": "SELECT * FROM costs",
     "false_positive_dollars": """SELECT referral_ident, px_code, decile, decision, reason, is_approved,
                                  avg_cost, false_positive_dollars FROM priced""",
@@ -807,6 +832,8 @@ QUERIES |= {
     "unexpected_reasons": f"""SELECT DISTINCT reason FROM decision_log
       WHERE reason IS NOT NULL AND reason NOT IN ({_list(K.EXPECTED_REASONS)})""",
     "quality_checks": _checks(S.AS_OF, K.FRESH_DAYS, K.SPAN_DAYS),
+    "quality_checks_scanned": _checks(S.AS_OF, K.FRESH_DAYS, K.SPAN_DAYS),
+    "missing_lob_seen": "SELECT count(*) AS lines, count(*) FILTER (lob IS NULL) AS missing_lob FROM lines",
     "quality_checks_quarterly": _quarterly(
         _checks(S.AS_OF_QUARTERLY, K.FRESH_DAYS_QUARTERLY, K.SPAN_DAYS_QUARTERLY).replace("FROM roi", "FROM roi_q")
     ),

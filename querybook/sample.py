@@ -12,6 +12,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clearlane.operators.staging import stage_table
+
 # specialty of nation 0, 1, 2, ...
 SPECIALTIES = (
     "ALLERGY/IMMUNOLOGY", "CARDIOLOGY", "DERMATOLOGY", "ENDOCRINOLOGY", "ENT-OTOLARYNGOLOGY",
@@ -69,6 +71,9 @@ REFERRAL_WINDOW_QUARTERLY = ("1998-05-02", "1998-09-28")
 # referrals scored with rules learned on earlier ones
 OLD_WINDOW = ("1995-01-01", "1998-12-31")
 NEW_WINDOW = ("1999-01-01", "2001-12-31")
+# starts and ends inside a month
+PART_WINDOW = ("1996-02-10", "2001-05-20")
+BUCKETS = 8
 DEPARTMENT_COST = 5.0e8
 AS_OF = "2001-10-01"
 AS_OF_QUARTERLY = "1998-10-01"
@@ -329,10 +334,15 @@ class Sample:
             F.when(d != 0, F.col("top_price")).alias("avg_cost"),
         )
 
+    @once
+    def stored_log(self) -> DataFrame:
+        """The log as a table of its own: the sheets of all years are read from it."""
+        return stage_table(self.decision_log())
+
     def sheet(self, year: int) -> DataFrame:
         """The decision sheet of one year; reasons are free-text notes there."""
         return (
-            self.decision_log()
+            self.stored_log()
             .filter(F.col("decision_year") == year)
             .withColumnRenamed("reason", "notes")
             .drop("decision_year", "avg_cost")

@@ -13,21 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearlane import constants as K
+from clearlane import schemas
 from clearlane.operators import (
     approval,
     cleaning,
     costing,
     crosstab,
     evaluation,
+    monthly,
     overrides,
     period,
     quality,
     rules,
     summary,
 )
-from clearlane.operators.staging import stage, stage_table
+from clearlane.operators.staging import new_folder, stage, stage_table
 from clearlane.plans.decisions import Decisions, analyse, decide
-from clearlane.sources import sinks, warehouse
+from clearlane.sources import readers, sinks, stores, warehouse
 from querybook import sample as S
 from querybook.sample import once
 
@@ -122,6 +124,31 @@ class Book(S.Sample):
         return evaluation.evaluation_cells(self.evaluated(), self.costs())
 
 
+    # --- stored extracts ---------------------------------------------------------
+
+    @once
+    def lines_path(self) -> str:
+        """All lines of the warehouse's period, stored by month."""
+        path = new_folder(self.spark)
+        stores.write_referral_lines(self.lines(), path)
+        return path
+
+    @once
+    def referrals_path(self) -> str:
+        """Headers and details in the same buckets."""
+        path = new_folder(self.spark)
+        stores.write_referrals(self.referral_tables(), path, S.BUCKETS, S.REFERRAL_WINDOW)
+        return path
+
+    @once
+    def stored_claims(self) -> dict[str, DataFrame]:
+        """The claim warehouse with its fact stored by service month."""
+        tables = self.claim_tables()
+        path = new_folder(self.spark)
+        stores.write_claims(tables["fact_claim"], tables["dim_date"], path)
+        return {**tables, "fact_claim": stores.read_claims(self.spark, path, tables["fact_claim"].schema)}
+
+
 DECISION_ROUND = ("avg_hcp_cost", "cost_to_review", "sum_cost_denied", "roi")
 
 
@@ -174,6 +201,111 @@ def referral_header_extract(b: Book) -> DataFrame:
     return warehouse.referral_headers(b.referral_tables(), S.REFERRAL_WINDOW)
 
 
+# --- stored extracts and text files ---------------------------------------------------
+
+
+@query
+def referral_extract_stored(b: Book) -> DataFrame:
+    """The lines of a quarter from the stored ones, reading its months only."""
+    return stores.read_referral_lines(b.spark, b.lines_path(), S.REFERRAL_WINDOW_QUARTERLY)
+
+
+@query
+def referral_extract_bucketed(b: Book) -> DataFrame:
+    """Headers and details that lie in the same buckets, joined without a shuffle."""
+    return stores.read_referrals(b.spark, b.referrals_path(), S.REFERRAL_WINDOW, K.COMMUNITIES)
+
+
+@query
+def claims_cost_stats_stored(b: Book) -> DataFrame:
+    """The quarterly window on claims stored by service month."""
+    return amounts(warehouse.claims_cost_stats(b.stored_claims(), S.CLAIM_WINDOW_QUARTERLY), "sd_hcp_cost")
+
+
+@query
+def claims_cost_stats_monthly(b: Book) -> DataFrame:
+    """Monthly states merged; the window's last month is read from the claims."""
+    path = new_folder(b.spark)
+    monthly.add_claim_months(b.stored_claims(), path, S.CLAIM_WINDOW)
+    return amounts(monthly.claim_cost_stats(b.stored_claims(), path, S.CLAIM_WINDOW), "sd_hcp_cost")
+
+
+@query
+def code_summary_monthly(b: Book) -> DataFrame:
+    """Monthly states, built in two steps, and the first and last month's lines."""
+    path = new_folder(b.spark)
+    for window in (S.OLD_WINDOW, S.REFERRAL_WINDOW):
+        monthly.add_line_months(b.spark, b.lines_path(), path, window, cleaning.RULES_C)
+    profile = monthly.line_profile(b.spark, b.lines_path(), path, S.PART_WINDOW, cleaning.RULES_C)
+    return costing.known_groups(profile)
+
+
+@query
+def text_lines_pipe(b: Book) -> DataFrame:
+    """Lines written with ``|`` and read again by their header."""
+    path = new_folder(b.spark)
+    sinks.write_delimited(b.lines(), path)
+    return readers.read_delimited(b.spark, path, schemas.REFERRAL_LINE, sep="|")
+
+
+@query
+def text_claims_comma(b: Book) -> DataFrame:
+    path = new_folder(b.spark)
+    sinks.write_delimited(b.claims(), path, sep=",")
+    return amounts(readers.read_delimited(b.spark, path, schemas.CLAIM_COST), "sd_hcp_cost")
+
+
+@query
+def text_saved_index(b: Book) -> DataFrame:
+    """A file with a column of row numbers, as saved data frames have it."""
+    path = new_folder(b.spark)
+    numbered = b.names().select(F.lit(0).alias(readers.SAVED_INDEX), "name", "cpt_code")
+    sinks.write_delimited(numbered, path, sep=",")
+    return readers.read_delimited(b.spark, path, schemas.CODE_NAME, saved_index=True)
+
+
+@query
+def text_dates(b: Book) -> DataFrame:
+    """Dates that arrive as text."""
+    as_text = b.lines().select(
+        "cpt_code", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("date_received", "date_decision")]
+    )
+    parsed = cleaning.parse_dates(as_text)
+    return parsed.groupBy("cpt_code").agg(F.min("date_received").alias("oldest"), F.max("date_decision").alias("newest"), F.count("date_decision").alias("decided"))
+
+
+@query
+def table_round_trip(b: Book) -> DataFrame:
+    """The header extract as a plain table, refused a second time."""
+    path = new_folder(b.spark)
+    headers = warehouse.referral_headers(b.referral_tables(), S.REFERRAL_WINDOW)
+    sinks.write_table(headers, path)
+    if sinks.write_table(headers.limit(0), path):
+        raise AssertionError("a table was replaced")
+    return readers.read_table(b.spark, path, schemas.REFERRAL_HEADER)
+
+
+def _scanned(b: Book) -> readers.Scan:
+    """Line items as text in which every seventh line has no number of units, and
+    returned ones no date."""
+    path = new_folder(b.spark)
+    units = F.when(F.col("l_linenumber") == 7, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    day = F.when(F.col("l_returnflag") == "R", "unknown").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    items = b.raw("lineitem").select(F.col("l_orderkey").cast("string").alias("auth_number"), day.alias("decision_date"), units.alias("units"))
+    sinks.write_delimited(items, path)
+    return readers.scan_delimited(b.spark, path, schemas._struct("auth_number string, decision_date date, units double"), sep="|")
+
+
+@query
+def text_scan_good(b: Book) -> DataFrame:
+    return _scanned(b).good.groupBy("decision_date").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"))
+
+
+@query
+def text_scan_rejected(b: Book) -> DataFrame:
+    return _scanned(b).rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- cleaning -------------------------------------------------------------------------
 
 
@@ -612,6 +744,15 @@ def confidence_decile(b: Book) -> DataFrame:
     return evaluation.confidence_decile(candidates)
 
 
+@query
+def confidence_decile_monthly(b: Book) -> DataFrame:
+    """Brackets from sketches of the months, which are kept."""
+    columns = ("referral_ident", "px_code", "confidence", "dt_prediction")
+    candidates = stage_table(b.predictions_prepared().select(*columns))
+    kept = stage(evaluation.confidence_sketches(candidates))
+    return evaluation.confidence_decile(candidates, sketches=kept).drop("dt_prediction")
+
+
 @query
 def referral_cost(b: Book) -> DataFrame:
     return b.costs()
@@ -675,13 +816,31 @@ def unexpected_reasons(b: Book) -> DataFrame:
 
 
 def _checks(b: Book, window, claims, as_of: str, fresh_days: int, span_days: tuple[int, int]) -> DataFrame:
-    """The extract, the analysed groups and the sheet are each stored once."""
-    lines = stage_table(b.lines(window))
-    table = stage_table(analyse(cleaning.clean_referrals(lines, cleaning.RULES_C), b.claims(claims), S.DEPARTMENT_COST).table)
-    checks = quality.quality_checks(lines, table, b.master(), as_of, S.DEPARTMENT_COST, fresh_days, span_days)
+    """The extract and the analysed groups are watched while they are stored."""
+    watched, seen_lines = quality.watch_lines(b.lines(window))
+    lines = stage_table(watched)
+    analysed = analyse(cleaning.clean_referrals(lines, cleaning.RULES_C), b.claims(claims), S.DEPARTMENT_COST)
+    groups, seen_groups = quality.watch_decisions(analysed.table)
+    stage_table(groups)
+    checks = quality.written_checks(seen_lines, seen_groups, b.master(), as_of, S.DEPARTMENT_COST, fresh_days, span_days)
     return totals(checks, "value", "lo", "hi")
 
 
+@query
+def quality_checks_scanned(b: Book) -> DataFrame:
+    """The same checks of an extract and groups that are already there."""
+    lines = stage_table(b.lines())
+    table = stage_table(analyse(cleaning.clean_referrals(lines, cleaning.RULES_C), b.claims(), S.DEPARTMENT_COST).table)
+    return totals(quality.quality_checks(lines, table, b.master(), S.AS_OF, S.DEPARTMENT_COST), "value", "lo", "hi")
+
+
+@query
+def missing_lob_seen(b: Book) -> DataFrame:
+    watched, seen = quality.watch_lines(b.lines())
+    stores.write_referral_lines(watched, new_folder(b.spark))
+    return quality.missing_lob_seen(b.spark, seen)
+
+
 @query
 def quality_checks(b: Book) -> DataFrame:
     return _checks(b, S.REFERRAL_WINDOW, S.CLAIM_WINDOW, S.AS_OF, K.FRESH_DAYS, K.SPAN_DAYS)
