@@ -7,9 +7,12 @@
    compared with its first document, then the first documents of the components
    that are still apart, and at last all members that are still in different
    components. Members that are connected already are never paired, so a group
-   of thousands of near copies costs a pair for each member and band. Members
-   that have too many shingles of their own to be linked to any other component
-   are left out before pairs are made, which is exact.
+   of thousands of near copies costs a pair for each member and band. Two bounds
+   that lose no link keep the last step small: members with too many shingles of
+   their own to be linked to any other component are left out, and a pair is only
+   made if the parities of its sets allow the threshold. The parity of a set has
+   ``PARITY_BITS`` bits, each the number of its shingles with one hash modulo 2, so
+   two sets differ in at least as many shingles as their parities do in bits.
 3. Candidate pairs are judged on batches of ``BATCH`` minimum hashes. With a
    uniform prior the similarity after m of n agreements is Beta(m + 1,
    n - m + 1); a pair whose probability of reaching the threshold falls below
@@ -39,9 +42,7 @@ ROWS, BANDS = 5, 20
 HASHES = ROWS * BANDS
 BATCH = 20
 MISS = 1e-7
-# a bucket that is still divided after the star rounds and has more members is
-# joined on two bands instead of one
-WIDE = 5000
+PARITY_BITS = 2048
 
 _multiplier = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -121,17 +122,18 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]]), offsets
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    bands = HASHES // rows
     for batch in batches:
         if not batch.num_rows:
             continue
         sign = _matrix(batch.column("sign")).astype(np.uint64)
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        keys = np.zeros((len(ids), BANDS), np.uint64)
-        for row in range(ROWS):
-            keys = T.mix(keys * np.uint64(31) + sign[:, row::ROWS] + np.arange(BANDS, dtype=np.uint64))
+        keys = np.zeros((len(ids), bands), np.uint64)
+        for row in range(rows):
+            keys = T.mix(keys * np.uint64(31) + sign[:, row : rows * bands : rows] + np.arange(bands, dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(T.signed(keys.ravel())), pa.array(np.repeat(ids, BANDS))], names=["bucket", "doc_id"]
+            [pa.array(T.signed(keys.ravel())), pa.array(np.repeat(ids, bands))], names=["bucket", "doc_id"]
         )
 
 
@@ -241,9 +243,9 @@ def _divided(labelled: DataFrame) -> DataFrame:
     """Buckets whose members have more than one label."""
     return (
         labelled.groupBy("bucket")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         .filter("lo < hi")
-        .select("bucket", "members")
+        .select("bucket")
     )
 
 
@@ -264,54 +266,65 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[
         )
 
 
+def _parities(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    words = PARITY_BITS // 64
+    for batch in T.slices(batches, "text", 1 << 20):
+        hashes, offsets = shingle_sets(batch.column("text"), size)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        bit = (T.mix(hashes) % np.uint64(PARITY_BITS)).astype(np.int64)
+        odd = (np.bincount(doc * PARITY_BITS + bit, minlength=batch.num_rows * PARITY_BITS) & 1).astype(np.uint8)
+        packed = np.packbits(odd).view(np.int64)
+        bounds = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(bounds, pa.array(packed))], names=["doc_id", "parity"])
+
+
 def _reach(labelled: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, reach): the largest partner of another component that a
+    """(doc_id, n, reach, parity): the largest partner of another component that a
     member of a divided bucket can be linked to. Only shingles that some other
     component among these members has can be common, so with m of them a link
     needs 100 m >= percent (n + partner - m)."""
     each = stage_table(labelled.select("doc_id", "label").distinct())
-    shingles = texts.join(each.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "label").mapInArrow(
-        partial(_explode_shingles, size=size), "shingle long, doc_id long, label long"
-    )
+    own = texts.join(each.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "label")
+    shingles = own.mapInArrow(partial(_explode_shingles, size=size), "shingle long, doc_id long, label long")
     common = (
         shingles.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle")
     )
     counted = shingles.join(common, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
     sizes = signs.groupBy("doc_id").agg(F.min("n_shingles").alias("n"))
-    # for rows that share an id, the smallest size and all common shingles
-    return counted.join(sizes, "doc_id").select(
-        "doc_id", "n", F.floor(F.col("m") * (100 + percent) / percent - F.col("n")).alias("reach")
+    parities = own.select("doc_id", "text").mapInArrow(partial(_parities, size=size), "doc_id long, parity array<long>")
+    first, last = F.min("parity"), F.max("parity")
+    parities = parities.groupBy("doc_id").agg(F.when(first == last, first).alias("parity"))
+    # for rows that share an id, the smallest size, all common shingles, no parity
+    return counted.join(sizes, "doc_id").join(parities, "doc_id").select(
+        "doc_id", "n", F.floor(F.col("m") * (100 + percent) / percent - F.col("n")).alias("reach"), "parity"
     )
 
 
 def _crossing(labelled: DataFrame, signs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """All pairs of members of a bucket that have different labels, of those
-    that can be linked by the number of shingles they share with others. In a
-    wide bucket only those that share a second band."""
+    """The pairs of members of a bucket that have different labels and can be linked
+    by the number of shingles they share with others, and by their parities."""
     reach = stage_table(_reach(labelled, signs, texts, size, percent))
-    sized = labelled.join(reach, "doc_id")
+    sized = labelled.join(reach.drop("parity"), "doc_id")
     least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
     able = stage_table(sized.join(least, "bucket").filter("reach >= least").select("bucket", "doc_id", "label", "n", "reach"))
-    divided = able.join(_divided(able), "bucket")
-    kept = ["doc_id", "label", "n", "reach"]
-    narrow = divided.filter(F.col("members") <= WIDE).select("bucket", F.lit(0).cast("long").alias("second"), *kept)
-    wide = divided.filter(F.col("members") > WIDE).select("bucket", *kept)
-    second = wide.select("doc_id", F.col("bucket").alias("second"))
-    both = wide.join(second, "doc_id").filter("bucket < second").select("bucket", "second", *kept)
-    # a pair is made where it meets first, not in every bucket it shares; the
-    # keys of a document are at most as many as bands, or pairs of bands
-    place = F.struct("bucket", "second")
-    places = narrow.union(both).select(*kept, place.alias("place"))
-    own = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    keyed = places.join(own, "doc_id")
-    x, y = (keyed.select("place", *[F.col(c).alias(f"{c}_{side}") for c in (*kept, "places")]) for side in "xy")
+    places = able.join(_divided(able), "bucket")
+    # a pair is made where it meets first, not in every bucket it shares; a
+    # document has at most as many buckets as there are bands
+    own = places.groupBy("doc_id").agg(F.collect_set("bucket").alias("places"))
+    keyed = places.join(own, "doc_id").join(reach.select("doc_id", "parity"), "doc_id")
+    x, y = (
+        keyed.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "label", "n", "reach", "places", "parity")]) for side in "xy"
+    )
+    apart = F.aggregate(F.zip_with("parity_x", "parity_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     condition = (
-        (x["place"] == y["place"])
+        (x["bucket"] == y["bucket"])
         & (F.col("doc_id_x") < F.col("doc_id_y"))
         & (F.col("label_x") != F.col("label_y"))
         & (F.col("n_x") <= F.col("reach_y"))
         & (F.col("n_y") <= F.col("reach_x"))
-        & (F.array_min(F.array_intersect("places_x", "places_y")) == x["place"])
+        # with d shingles that only one of them has, the similarity is (n - d) / (n + d)
+        & F.coalesce(apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent), F.lit(True))
+        & (F.array_min(F.array_intersect("places_x", "places_y")) == x["bucket"])
     )
     return x.join(y, condition).select(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y"))
 
@@ -322,16 +335,19 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = SHINGLE,
     percent: int = THRESHOLD,
+    rows: int = ROWS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased for A-Z. Two documents are linked if 100 * common >=
-    percent * union holds for their sets of distinct shingles. ``component_id``
+    percent * union holds for their sets of distinct shingles. ``rows`` minimum
+    hashes make a band; lower thresholds need fewer (4 for 80 per cent). ``component_id``
     is the smallest id that can be reached over links, ``kept`` says whether it
     is the row's own. A null or empty text has no shingle and no link, fewer
     words than a shingle are one shingle. Rows that share an id share the
     component of all of them; rows without an id are not linked: their
-    component is null and they are kept. An empty table gives no rows.
+    component is null and they are kept. An empty table gives no rows. A task holds
+    the shingles of one text at a time, however long it is.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signs = stage_table(
@@ -350,7 +366,7 @@ def near_duplicates(
         .dropDuplicates(["s1", "s2", "doc_id"])  # rows that repeat as a whole
         .select("doc_id", "n_shingles", "sign")
     )
-    bands = firsts.mapInArrow(_bands, "bucket long, doc_id long")
+    bands = firsts.mapInArrow(partial(_bands, rows=rows), "bucket long, doc_id long")
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stage_table(bands.join(shared, "bucket").select("bucket", "doc_id").distinct())
     wanted = members.select("doc_id").distinct()
@@ -360,7 +376,7 @@ def near_duplicates(
     links = stage_table(_links(_star(_labelled(members, None)), signed, texts, shingle, percent))
     for last in (False, True):
         labelled = _labelled(members, links)
-        labelled = stage_table(labelled.join(_divided(labelled).select("bucket"), "bucket"))
+        labelled = stage_table(labelled.join(_divided(labelled), "bucket"))
         pairs = _crossing(labelled, signed, texts, shingle, percent) if last else _star(labelled)
         links = links.union(stage_table(_links(pairs, signed, texts, shingle, percent)))
     reached = components(links.union(copies))

@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+import pytest
+
 from clearlane.llm import minhash
 from tests.llm.cases import ODD, documents, lowered, prose
 
@@ -11,7 +14,7 @@ def shingles(text):
     return frozenset(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([tuple(ws)])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, s in sets if i is not None}
 
@@ -22,7 +25,7 @@ def brute(rows):
 
     for a, (i, s) in enumerate(sets):
         for j, t in sets[:a]:
-            if s and t and i is not None and j is not None and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and i is not None and j is not None and 100 * len(s & t) >= percent * len(s | t):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return sorted([(i, len(s), root(i) if i is not None else None) for i, s in sets], key=str)
@@ -73,7 +76,51 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_wide_buckets_are_joined_on_two_bands(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "WIDE", 1)
-    texts = [" ".join(prose(1, 300) if i % 2 else prose(2, 300)) + f" t{i}" for i in range(12)]
-    assert result(minhash.near_duplicates(documents(spark, texts))) == brute(list(enumerate(texts)))
+def edited(base, rng, edits):
+    ws = list(base)
+    for at in rng.sample(range(len(ws)), edits):
+        ws[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(ws)
+
+
+@pytest.mark.parametrize("percent,rows", [(85, 5), (80, 4)])
+def test_large_group_on_both_sides_of_the_threshold(spark, percent, rows):
+    """Every text has its own edits of one base that is not there itself."""
+    rng = random.Random(percent)
+    base = prose("group", 150)
+    texts = [edited(base, rng, 2 + i % 2) for i in range(220)]
+    df = documents(spark, texts)
+    expected = brute(list(enumerate(texts)), percent)
+    assert len({c for _, _, c in expected}) > 20
+    assert result(minhash.near_duplicates(df, percent=percent, rows=rows)) == expected
+
+
+def test_far_pairs_of_a_group_are_not_made(spark):
+    """The join of a bucket gives the pairs whose parities allow a link."""
+    rng = random.Random(2)
+    base = prose("group", 150)
+    texts = [edited(base, rng, 2) for i in range(150)]
+    made = []
+    whole = minhash._crossing
+    try:
+        minhash._crossing = lambda *a: made.append(whole(*a)) or made[-1]
+        minhash.near_duplicates(documents(spark, texts)).collect()
+    finally:
+        minhash._crossing = whole
+    sets = [shingles(t) for t in texts]
+    near = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert made[0].count() <= near < 150 * 149 / 2 / 4
+
+
+def test_parity_bounds_the_difference():
+    rng = random.Random(3)
+    base = prose("p", 300)
+    texts = pa.array([edited(base, rng, k % 9) for k in range(30)] + [None, "", "a b c d e f"])
+    column = pa.RecordBatch.from_arrays([pa.array(range(33)), texts], names=["doc_id", "text"])
+    parity = [x["parity"] for b in minhash._parities(iter([column]), 5) for x in b.to_pylist()]
+    sets = [shingles(t.as_py()) for t in texts]
+    for a, p in zip(sets, parity, strict=True):
+        for b, q in zip(sets, parity, strict=True):
+            apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(p, q, strict=True))
+            assert apart <= len(a ^ b) and apart % 2 == len(a ^ b) % 2
+            assert len(a ^ b) > 150 or apart >= len(a ^ b) * 0.7
