@@ -17,7 +17,7 @@ def plain_lcs(a, b):
 
 
 def brute(texts, items):
-    """Every item against every window of every document."""
+    """Every item against every whole document."""
     found = set()
     for d, t in enumerate(texts):
         ws = lowered(t)
@@ -25,12 +25,10 @@ def brute(texts, items):
             own = lowered(item)
             if not own:
                 continue
-            for at in range(0, max(1, len(ws) - decontaminate.STEP + 1), decontaminate.STEP):
-                region = ws[max(0, at - decontaminate.AROUND) : at + decontaminate.PASSAGE + decontaminate.AROUND]
-                share = plain_lcs(own, region) / len(own)
-                answer = own[-decontaminate.ANSWER_WORDS :]
-                if share >= 0.7 or share >= 0.5 and plain_lcs(answer, region) == len(answer):
-                    found.add((d, i))
+            share = plain_lcs(own, ws) / len(own)
+            answer = own[-decontaminate.ANSWER_WORDS :]
+            if share >= 0.7 or share >= 0.5 and plain_lcs(answer, ws) == len(answer):
+                found.add((d, i))
     return found
 
 
@@ -114,3 +112,42 @@ def test_answers_nulls_repeats_and_empty_tables(spark):
     assert pairs(decontaminate.leaks(docs, bench, answer_col="answer")) == {(0, 1)}
     assert decontaminate.leaks(docs.limit(0), bench).collect() == []
     assert decontaminate.leaks(docs, bench.limit(0).select("item_id", "text")).collect() == []
+
+
+def test_items_of_any_length(spark):
+    """Copies and reworded copies of long items, in long documents."""
+    rng = random.Random(6)
+    items = [prose((6, i), n, 5000) for i, n in enumerate([60, 64, 65, 100, 150, 200, 250, 500, 1200])]
+    texts, expected = [], set()
+    for i, item in enumerate(items):
+        for kind in ("copy", "reworded"):
+            body = item if kind == "copy" else [w if rng.random() > 0.12 else f"w{rng.randrange(5000)}" for w in item if rng.random() > 0.08]
+            ws = prose((6, "d", i, kind), 300, 5000)
+            at = rng.randrange(300)
+            expected.add((len(texts), i))
+            texts.append(" ".join(ws[:at] + body + ws[at:]))
+    # a part of an item that is less than what counts
+    texts.append(" ".join(items[-1][:400]))
+    texts += [" ".join(prose((6, "b", i), 200, 5000)) for i in range(100)]
+    frame = items_frame(spark, [" ".join(x) for x in items])
+    got = decontaminate.leaks(documents(spark, texts), frame)
+    assert pairs(got) == expected
+    whole = {(r.doc_id, r.item_id) for r in got.collect() if r.lcs == 1.0}
+    assert {(2 * i, i) for i in range(len(items))} <= whole
+    assert pairs(decontaminate.leaks(documents(spark, texts), frame, block=16)) == expected
+
+
+def test_items_in_several_parts(spark, monkeypatch):
+    items, texts = corpus(3)
+    docs, bench = documents(spark, texts), items_frame(spark, items)
+    one = pairs(decontaminate.leaks(docs, bench))
+    monkeypatch.setattr(decontaminate, "WORDS", 200)
+    many = pairs(decontaminate.leaks(docs, bench))
+    assert len(one ^ many) <= 0.05 * len(one)
+
+
+def test_item_inside_a_very_long_text(spark):
+    item = prose(8, 80)
+    texts = ["the of " * 200_000 + " ".join(item) + " the of" * 200_000, "the of", " ".join(prose(9, 50))]
+    got = decontaminate.leaks(documents(spark, texts), items_frame(spark, [" ".join(item)])).collect()
+    assert [(r.doc_id, r.item_id, r.lcs) for r in got] == [(0, 0, 1.0)] and abs(got[0].word - 400_000) < 100
