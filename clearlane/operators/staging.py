@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +63,21 @@ def stage_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Remove every table staged so far; for the end of a job, when its results
-    are written. Frames that still read such a table become unusable."""
+def staged() -> list[str]:
+    """The tables that are staged now, the newest last."""
+    return list(_tables)
+
+
+def release(keep: Iterable[str] = ()) -> None:
+    """Remove the tables staged so far but those in ``keep``; for the end of a job
+    or of a part of it, when its results are written. Frames that still read such a
+    table become unusable."""
+    kept = {*keep}
     for path, spark in list(_tables.items()):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        del _tables[path]
+        if path not in kept:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            del _tables[path]
 
 
 def _match(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool) -> Column:
