@@ -54,10 +54,29 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 
 
-def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """``values[bounds[k]:bounds[k + 1]]`` as binary cell k."""
-    offsets = pa.py_buffer((bounds * values.itemsize).astype(np.int64))
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values))])
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: first all lowest bytes, then the next ones.
+    Most of the higher ones are zero, which shuffles and files store for nothing."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes() if len(values) else b""
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel() if data else np.zeros(0, kind)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers by their steps, which are small."""
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unpack(data, kind), dtype=kind)
+
+
+def _cut(values: np.ndarray, bounds: np.ndarray, packed) -> pa.Array:
+    """``values[bounds[k]:bounds[k + 1]]``, packed, as binary cell k."""
+    return pa.array([packed(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
 
 
 def encode(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -104,7 +123,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([number], pa.int64()),
                 pa.array([lang], pa.string()),
                 pa.array([int(counts.sum())], pa.int64()),
-                _binary(seq, np.array([0, len(seq)])).cast(pa.binary()),
+                pa.array([pack(seq)], pa.binary()),
                 pa.ListArray.from_arrays(bounds, words),
                 pa.ListArray.from_arrays(bounds, pa.array(counts)),
             ],
@@ -166,7 +185,7 @@ def _dictionary_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Itera
             if not len(words):
                 continue
             bucket = _bucket(words, buckets)
-            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            order = np.argsort(bucket, kind="stable").astype(np.int32)  # ascending in a bucket
             ordered = bucket[order]
             first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             bounds = np.append(first, len(order))
@@ -175,7 +194,7 @@ def _dictionary_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Itera
                     pa.array(np.full(len(first), number.as_py(), np.int64)),
                     pa.array([lang.as_py()] * len(first), pa.string()),
                     pa.array(ordered[first]),
-                    _binary(order, bounds).cast(pa.binary()),
+                    _cut(order, bounds, pack_sorted),
                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words.take(pa.array(order))),
                 ],
                 names=["slice", "lang", "bucket", "locals", "words"],
@@ -189,10 +208,10 @@ def _known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases, ids = known.values.flatten()
             at = pc.fill_null(pc.index_in(words.values, value_set=phrases), -1).to_numpy(zero_copy_only=False)
             if (at >= 0).any():
-                local = np.frombuffer(own.as_py(), np.int32)[at >= 0]
+                local = unpack_sorted(own.as_py(), np.int32)[at >= 0]
                 found = ids.to_numpy(zero_copy_only=False)[at[at >= 0]].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number.as_py()], pa.int64()), pa.array([local.tobytes()], pa.binary()), pa.array([found.tobytes()], pa.binary())],
+                    [pa.array([number.as_py()], pa.int64()), pa.array([pack_sorted(local.astype(np.int64))], pa.binary()), pa.array([pack(found)], pa.binary())],
                     names=["slice", "keys", "ids"],
                 )
 
@@ -204,9 +223,9 @@ def _recode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for number, seq, size, found in zip(*(batch.column(c) for c in ("slice", "seq", "size", "found")), strict=True):
             ids = np.full(size.as_py() + 1, -1, np.int64)
             for part in found.as_py():
-                ids[np.frombuffer(part["keys"], np.int32)] = np.frombuffer(part["ids"], np.int32)
+                ids[unpack_sorted(part["keys"], np.int64)] = unpack(part["ids"], np.int32)
             # -1 is the last place, which stays -1
-            yield _sequence(number.as_py(), ids[np.frombuffer(seq.as_py(), np.int32)])
+            yield _sequence(number.as_py(), ids[unpack(seq.as_py(), np.int32)])
 
 
 def _sequence(number: int, ids: np.ndarray) -> pa.RecordBatch:
@@ -217,7 +236,7 @@ def _sequence(number: int, ids: np.ndarray) -> pa.RecordBatch:
     kept = ids[paired | before]
     kept[~paired[paired | before]] = -1
     return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([kept.astype(np.int32).tobytes()], pa.binary())], names=["slice", "seq"]
+        [pa.array([number], pa.int64()), pa.array([pack(kept.astype(np.int32))], pa.binary())], names=["slice", "seq"]
     )
 
 
@@ -244,7 +263,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(slice, tile, cells, ns): the pairs of neighbours of each slice."""
     for batch in batches:
         for number, seq in zip(batch.column("slice").to_pylist(), batch.column("seq"), strict=True):
-            ids = np.frombuffer(seq.as_py(), np.int32).astype(np.int64)
+            ids = unpack(seq.as_py(), np.int32).astype(np.int64)
             both = (ids[:-1] >= 0) & (ids[1:] >= 0)
             if not both.any():
                 continue
@@ -255,8 +274,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(len(first), number, np.int64)),
                     pa.array(tile[first]),
-                    _binary(cell.astype(np.int32), bounds).cast(pa.binary()),
-                    _binary(n.astype(np.int64), bounds).cast(pa.binary()),
+                    _cut(cell.astype(np.int32), bounds, pack_sorted),
+                    _cut(n.astype(np.int64), bounds, pack),
                 ],
                 names=["slice", "tile", "cells", "ns"],
             )
@@ -284,8 +303,7 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     def out() -> pa.RecordBatch:
         cell, n = _added(cells, ns)
         if not least:
-            bounds = np.array([0, len(cell)])
-            columns = [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), _binary(cell, bounds).cast(pa.binary()), _binary(n, bounds).cast(pa.binary())]
+            columns = [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([pack_sorted(cell)], pa.binary()), pa.array([pack(n)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["tile", "part", "cells", "ns"])
         cell, n = cell[n >= least].astype(np.int64), n[n >= least]
         left = key[0] >> TILE_SHIFT << TILE_BITS | cell >> TILE_BITS
@@ -299,8 +317,8 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 if key is not None:
                     yield out()
                 key, cells, ns, waiting = this, [], [], 0
-            cells.append(np.frombuffer(cell.as_py(), np.int32))
-            ns.append(np.frombuffer(n.as_py(), np.int64))
+            cells.append(unpack_sorted(cell.as_py(), np.int32))
+            ns.append(unpack(n.as_py(), np.int64))
             waiting += len(cells[-1])
             if waiting > 2 * TILE * TILE:
                 cell, n = _added(cells, ns)
@@ -336,14 +354,14 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block, the cells that are frequent pairs, with their number."""
     for batch in batches:
         for number, tile, cells, found in zip(*(batch.column(c) for c in ("slice", "tile", "cells", "found")), strict=True):
-            mine = np.frombuffer(cells.as_py(), np.int32)
+            mine = unpack_sorted(cells.as_py(), np.int32)
             cell, ids = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())  # sorted by cell
             at = np.minimum(np.searchsorted(cell, mine), len(cell) - 1)
             hit = cell[at] == mine
             if hit.any():
                 keys = np.int64(tile.as_py()) << (2 * TILE_BITS) | mine[hit].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number.as_py()], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([ids[at][hit].astype(np.int32).tobytes()], pa.binary())],
+                    [pa.array([number.as_py()], pa.int64()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(ids[at][hit].astype(np.int32))], pa.binary())],
                     names=["slice", "keys", "ids"],
                 )
 
@@ -353,11 +371,11 @@ def _recode_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for number, seq, found in zip(*(batch.column(c) for c in ("slice", "seq", "found")), strict=True):
             parts = found.as_py()
-            keys = np.concatenate([np.frombuffer(x["keys"], np.int64) for x in parts])
-            ids = np.concatenate([np.frombuffer(x["ids"], np.int32) for x in parts])
+            keys = np.concatenate([unpack_sorted(x["keys"], np.int64) for x in parts])
+            ids = np.concatenate([unpack(x["ids"], np.int32) for x in parts])
             order = np.argsort(keys, kind="stable")
             keys, ids = keys[order], ids[order]
-            units = np.frombuffer(seq.as_py(), np.int32).astype(np.int64)
+            units = unpack(seq.as_py(), np.int32).astype(np.int64)
             left, right = units[:-1], units[1:]
             both = (left >= 0) & (right >= 0)
             left, right = np.where(both, left, 0), np.where(both, right, 0)

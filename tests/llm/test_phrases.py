@@ -98,6 +98,15 @@ def test_small_slices_tiles_and_steps_give_the_same(spark, monkeypatch):
     assert result(phrases.collocations(df, least=4)) == brute(list(zip(texts, langs, strict=True)), 4, 5, 2000)
 
 
+def test_packing_gives_the_numbers_back():
+    rng = np.random.default_rng(1)
+    for kind in (np.int32, np.int64):
+        for n in (0, 1, 1000):
+            values = rng.integers(-5, 1 << 30, n).astype(kind)
+            assert (phrases.unpack(phrases.pack(values), kind) == values).all()
+            assert (phrases.unpack_sorted(phrases.pack_sorted(np.sort(values)), kind) == np.sort(values)).all()
+
+
 def test_pieces_and_slices():
     import pyarrow as pa
 
