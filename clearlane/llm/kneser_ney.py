@@ -20,8 +20,8 @@ border. With ``ORDER`` symbols an n-gram is a number below
   texts, and further languages take further passes over theirs.
 * A document is rejected if its perplexity is outside the quantiles of the
   trusted documents of its language. A model knows its own training text too
-  well, so for the upper limit the trusted documents are halved, and each half
-  is scored by a model of the other one.
+  well, so for the upper limit the trusted texts are halved by a hash of the text,
+  and each half is scored by a model of the other one.
 """
 
 from __future__ import annotations
@@ -131,21 +131,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counted_rows()
 
 
-def _half(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(2)).cast("int")
+def _half(text: str = "text") -> Column:
+    return word_grams.half_of(word_grams.text_id(text))
+
+
+def _names(lang: str | None) -> tuple[str, str, str]:
+    """Names of a language's model, and of those of its halves; without a language,
+    of all together. The sign in front keeps any language apart from ``OTHER``."""
+    base = OTHER if lang is None else "=" + lang
+    return base + "|", base + "|0", base + "|1"
 
 
 def ngram_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, code, n) over the trusted documents (doc_id, text, lang), for each
-    language and for ``OTHER``, all together. ``lang`` also says which documents:
-    ``en`` all of them, ``en 0`` and ``en 1`` one half."""
-    counted = trusted.select("text", "lang", _half("doc_id").alias("half")).mapInArrow(
+    """(lang, code, n) over the trusted documents (text, lang), for each language
+    and for ``OTHER``, all together. ``lang`` is the name of a model: ``=en|`` counts
+    all of the language, ``=en|0`` and ``=en|1`` one half."""
+    counted = trusted.select("text", "lang", _half().alias("half")).mapInArrow(
         _count, "lang string, half int, code long, n long"
     )
     halves = counted.groupBy("lang", "half", "code").agg(F.sum("n").alias("n"))
-    every = halves.select(F.explode(F.array("lang", F.lit(OTHER))).alias("lang"), "half", "code", "n").filter("lang IS NOT NULL")
-    of_half = F.concat_ws(" ", "lang", F.col("half").cast("string"))
-    each = every.select(F.explode(F.array("lang", of_half)).alias("lang"), "code", "n")
+    base = F.explode(F.array(word_grams.base_of(F.col("lang")), F.lit(OTHER))).alias("base")
+    every = halves.select(base, "half", "code", "n").filter("base IS NOT NULL")
+    whole, of_half = F.concat("base", F.lit("|")), word_grams.half_model(F.col("base"), F.col("half"))
+    each = every.select(F.explode(F.array(whole, of_half)).alias("lang"), "code", "n")
     return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -222,12 +230,15 @@ def _score(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch
     for batch in T.slices(batches, "text"):
         code, offsets = symbol_codes(batch.column("text"))
         n = np.diff(offsets)
-        langs = [x if x in tables else OTHER for x in batch.column("lang").to_pylist()]
-        others = [f"{x} {1 - h}" for x, h in zip(langs, batch.column("half").to_pylist(), strict=True)]
+        pooled = _names(None)
+        mine = [_names(x) for x in batch.column("lang").to_pylist()]
+        mine = [x if x[0] in tables else pooled for x in mine]
+        langs = [x[0] for x in mine]
+        others = [x[2 - h] for x, h in zip(mine, batch.column("half").to_pylist(), strict=True)]
         means = []
         for names in (langs, others):
             total = np.zeros(len(n))
-            names = np.asarray([x if x in tables else OTHER for x in names])
+            names = np.asarray([x if x in tables else pooled[0] for x in names])
             for name in {*names.tolist()}:
                 docs = np.flatnonzero((names == name) & (n > 0))
                 if len(docs):
@@ -250,13 +261,12 @@ def _scored(rows: DataFrame, counts: DataFrame, known: set[str]) -> DataFrame:
     """The losses of all rows, ``LANGUAGES`` - 1 languages at once, which bounds
     what the driver and a broadcast hold. Rows of languages without a model go
     with the first of these blocks."""
-    halves = ("", " 0", " 1")
-    langs = sorted({x[:-2] for x in known if x.endswith(halves[1:])} - {OTHER})
+    langs = sorted(x[1:-1] for x in known if x[0] == "=" and x[-1] == "|")
     step = LANGUAGES - 1
     found = None
     for at in range(0, max(1, len(langs)), step):
         block = langs[at : at + step]
-        names = [x + h for x in (*block, OTHER) for h in halves]
+        names = [name for x in (*block, None) for name in _names(x)]
         table = model_rows(counts.filter(F.col("lang").isin(names))).toArrow()
         models = rows.sparkSession.sparkContext.broadcast(dense_model(table))
         others = langs[step:]
@@ -272,14 +282,37 @@ def _scored(rows: DataFrame, counts: DataFrame, known: set[str]) -> DataFrame:
     return found
 
 
-def _with_words(base: DataFrame, scored: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The scored rows with n_words and word_nats. A text is judged once
-    for each model, and its score is joined to all rows that have it."""
-    counts = stage_table(word_grams.gram_counts(trusted.withColumn("half", _half("doc_id"))))
-    model = word_grams.model_column(word_grams.models_of(counts))
-    texts = base.withColumn("half", _half("doc_id")).select(word_grams.text_id().alias("text_id"), "text", model.alias("model"))
-    scores = word_grams.word_scores(texts, counts).withColumnRenamed("model", "word_model")
-    return scored.withColumn("word_model", model).join(scores, ["text_id", "word_model"], "left")
+def _word_judgement(base: DataFrame, trusted: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """(text_id, lang, word_base, n_words, word_nats) of the different texts, and
+    (word_base, word_lo, word_hi), the quantiles of the trusted documents."""
+    identified = lambda rows: rows.withColumn("text_id", word_grams.text_id()).withColumn("half", _half())
+    trusted = identified(trusted)
+    counts = stage_table(word_grams.gram_counts(trusted))
+    rows = word_grams.with_model(identified(base).select("text_id", "lang", "half", "text"), counts)
+    texts = rows.select("text_id", "text", "model", F.col("base").alias("word_base"))
+    reference = word_grams.with_model(trusted.select("text_id", "lang", "half", "text"), counts)
+    # limits of all languages together are those of all trusted texts there
+    other = F.lit(word_grams.OTHER)
+    some = not texts.filter(F.col("word_base") == other).isEmpty()
+    if some:
+        pooled = reference.withColumn("base", other).withColumn("model", word_grams.half_model(other, 1 - F.col("half")))
+        reference = reference.filter(F.col("base") != other).union(pooled)
+        texts = texts.union(pooled.select("text_id", "text", "model", F.col("base").alias("word_base")))
+    scores = stage_table(word_grams.word_scores(texts, counts))
+    judged = rows.select("text_id", "lang", "model", F.col("base").alias("word_base")).distinct().join(scores, ["text_id", "model"])
+    # the mean of a short document varies more; its allowance is taken off
+    # before the quantiles, and given back to the judged document
+    own = F.lit(WORD_SLACK_ROOT) / F.sqrt(F.col("n_words") + 1)
+    limits = (
+        reference.select("text_id", "model", F.col("base").alias("word_base"))
+        .join(scores, ["text_id", "model"])
+        .groupBy("word_base")
+        .agg(
+            F.percentile_approx(F.col("word_nats") + own, low, 100_000).alias("word_lo"),
+            F.percentile_approx(F.col("word_nats") - own, high, 100_000).alias("word_hi"),
+        )
+    )
+    return judged.drop("model"), limits
 
 
 def judge_quality(
@@ -301,8 +334,10 @@ def judge_quality(
     their limits. Languages without trusted text, and a null one, use the
     model and limits of all languages together. A null or empty text has nothing
     to predict, perplexity 1, and is kept. Without any trusted document nothing
-    is rejected: perplexity and limits are null. A document whose id is repeated
-    in the table is judged row by row; labels are used once for each id.
+    is rejected: perplexity and limits are null. Equal texts of one language are
+    judged alike, however many there are. A document whose id is repeated in the
+    table is judged row by row; labels are used once for each id. A task holds one
+    text at a time, however long it is. An empty table gives no rows.
     """
     base = docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")
@@ -316,27 +351,23 @@ def judge_quality(
         nothing = F.lit(None).cast("double")
         n = F.lit(None).cast("long")
         return base.select("doc_id", "lang", n.alias("n_symbols"), nothing.alias("perplexity"), nothing.alias("lowest"), nothing.alias("highest"), F.lit(True).alias("kept"), n.alias("n_words"), nothing.alias("word_perplexity"), nothing.alias("word_lowest"), nothing.alias("word_highest"))
-    scored = _scored(base.withColumn("half", _half("doc_id")).withColumn("text_id", word_grams.text_id()), counts, known)
-    scored = stage_table(_with_words(base, scored, trusted))
+    scored = _scored(base.withColumn("half", _half()).withColumn("text_id", word_grams.text_id()), counts, known)
     reference = scored.join(trusted_ids, "doc_id", "left_semi").filter("n_symbols > 0")
-    # the mean of a short document varies more; its allowance is taken off
-    # before the quantiles, and given back to the judged document
     own = F.lit(SLACK_ROOT) / F.sqrt(F.col("n_symbols") + 1)
-    word_own = F.lit(WORD_SLACK_ROOT) / F.sqrt(F.col("n_words") + 1)
     every = reference.select(
-        F.explode(F.array_distinct(F.array("model", F.lit(OTHER)))).alias("model"),
+        F.explode(F.array_distinct(F.array("model", F.lit(_names(None)[0])))).alias("model"),
         (F.col("nats") + own).alias("above"),
         (F.col("held_out") - own).alias("below"),
-        (F.col("word_nats") + word_own).alias("word_above"),
-        (F.col("word_nats") - word_own).alias("word_below"),
     )
     limits = every.groupBy("model").agg(
-        F.percentile_approx("above", low, 100_000).alias("lo"),
-        F.percentile_approx("below", high, 100_000).alias("hi"),
-        F.percentile_approx("word_above", low, 100_000).alias("word_lo"),
-        F.percentile_approx("word_below", high, 100_000).alias("word_hi"),
+        F.percentile_approx("above", low, 100_000).alias("lo"), F.percentile_approx("below", high, 100_000).alias("hi")
     )
-    slack, word_slack = own + F.lit(SLACK), word_own + F.lit(WORD_SLACK)
+    by_words, word_limits = _word_judgement(base, trusted, low, high)
+    by_words = by_words.withColumn("lang", F.coalesce("lang", F.lit("")))
+    slack = own + F.lit(SLACK)
+    word_slack = F.lit(WORD_SLACK_ROOT) / F.sqrt(F.col("n_words") + 1) + F.lit(WORD_SLACK)
+    scored = scored.withColumn("key", F.coalesce("lang", F.lit(""))).join(by_words.withColumnRenamed("lang", "key"), ["text_id", "key"], "left")
+    scored = scored.join(F.broadcast(word_limits), "word_base", "left")  # one row for each language
     # one row for each language
     judged = scored.join(F.broadcast(limits), "model", "left")
     fits = (F.col("n_symbols") == 0) | F.col("nats").between(F.col("lo") - slack, F.col("hi") + slack)

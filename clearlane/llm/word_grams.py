@@ -10,11 +10,15 @@ corpus. Nothing is pruned, collected or broadcast but one row for each model:
   is joined once with the shares, the rests and the lower order's probability;
   the documents' n-grams are then joined with the result.
 
-``model`` is a plain grouping key: ``en 0`` and ``en 1`` count the halves of the
-trusted documents of a language, ``* 0`` and ``* 1`` those of all languages. A
-document, trusted or not, is judged by the model of the half that it is not in:
-perplexities of models with other words cannot be compared, and a model knows
-its own texts too well to set limits by them.
+``model`` is a plain grouping key: ``=en|0`` and ``=en|1`` count the halves of the
+trusted texts of a language, ``*|0`` and ``*|1`` those of all languages. Texts are
+halved by a hash of the text, so equal texts are in one half. A text, trusted or
+not, is judged by the model of the half that it is not in: perplexities of models
+with other words cannot be compared, and a model knows its own texts too well to
+set limits by them. A language has its own models if both halves have a trusted
+text; the others are judged by those of all languages, and by the limits that
+trusted texts have there. A text is counted once for a model, however many
+documents have it.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,16 +76,32 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _counted(batches, ["text_id", "model"])
+    """Every text once for a model in a slice; ``part`` says in which slice."""
+    part = TaskContext.get().partitionId() << 32
+    for batch in T.slices(batches, "text"):
+        keys = list(zip(batch.column("text_id").to_pylist(), batch.column("model").to_pylist(), strict=True))
+        seen: dict[tuple, int] = {}
+        first = [i for i, key in enumerate(keys) if seen.setdefault(key, i) == i]
+        once = batch.take(pa.array(first))
+        part += 1
+        yield from _counted(iter([once.append_column("part", pa.array(np.full(len(first), part, np.int64)))]), ["text_id", "model", "part"])
+
+
+def base_of(lang: Column) -> Column:
+    """The name of a language's models; no language is called like ``OTHER``."""
+    return F.concat(F.lit("="), lang)
+
+
+def half_model(base: Column, half: Column) -> Column:
+    return F.concat_ws("|", base, half.cast("string"))
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
     """(model, w0 .., n) over the trusted documents (text, lang, half)."""
     counted = trusted.select("text", "lang", "half").mapInArrow(_training, f"lang string, half int, {_TYPES}, n long")
     halves = counted.groupBy("lang", "half", *WORDS).agg(F.sum("n").alias("n"))
-    every = halves.withColumn("lang", F.explode(F.array("lang", F.lit(OTHER)))).filter("lang IS NOT NULL")
-    of_half = F.concat_ws(" ", "lang", F.col("half").cast("string"))
-    return every.withColumn("model", of_half).groupBy("model", *WORDS).agg(F.sum("n").alias("n"))
+    every = halves.withColumn("base", F.explode(F.array(base_of(F.col("lang")), F.lit(OTHER)))).filter("base IS NOT NULL")
+    return every.withColumn("model", half_model(F.col("base"), F.col("half"))).groupBy("model", *WORDS).agg(F.sum("n").alias("n"))
 
 
 def _discounted(counts: DataFrame, words: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -135,28 +156,33 @@ def text_id(text: str = "text") -> Column:
     return F.xxhash64(text)
 
 
-def models_of(counts: DataFrame) -> list[str]:
-    """Names of the models: one string for each language and half."""
-    return sorted(r["model"] for r in counts.select("model").distinct().collect())
+def half_of(text_id: Column) -> Column:
+    return F.pmod(text_id, F.lit(2)).cast("int")
 
 
-def model_column(names: list[str]) -> Column:
-    """The model that judges a row (lang, half): that of the other half of its
-    language, or of all together. Without one, a row is not judged by words."""
-    known = F.create_map(*[F.lit(x) for n in names for x in (n, n)])
-    other_half = (1 - F.col("half")).cast("string")
-    own, pooled = F.concat_ws(" ", F.col("lang"), other_half), F.concat_ws(" ", F.lit(OTHER), other_half)
-    return F.coalesce(F.when(F.col("lang").isNotNull(), known[own]), known[pooled])
+def with_model(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` (lang, half) with ``base``, whose models judge a row, and ``model``,
+    that of the other half. Where neither the language nor all languages together
+    have two halves, both are null and a row is not judged by words."""
+    names = counts.select("model").distinct().select(F.substring_index("model", "|", -1).alias("h"), F.expr("substring(model, 1, length(model) - 2)").alias("own"))
+    whole = stage_table(names.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("own"))  # a row for each language
+    pooled = F.lit(None).cast("string") if whole.filter(F.col("own") == OTHER).isEmpty() else F.lit(OTHER)
+    found = rows.withColumn("wanted", base_of(F.col("lang"))).join(whole, F.col("wanted") == F.col("own"), "left")
+    base = F.coalesce("own", pooled)
+    return found.withColumn("base", base).withColumn("model", F.when(base.isNotNull(), half_model(base, 1 - F.col("half")))).drop("wanted", "own")
 
 
 def word_scores(judged: DataFrame, counts: DataFrame) -> DataFrame:
     """(text_id, model, n_words, word_nats): the mean loss of the different
     texts of ``judged`` (text_id, text, model) that have words."""
     judged = judged.filter("model IS NOT NULL")
-    grams = stage_table(judged.mapInArrow(_judged, f"text_id long, model string, {_TYPES}, n long"))
+    grams = stage_table(judged.mapInArrow(_judged, f"text_id long, model string, part long, {_TYPES}, n long"))
     p = _probabilities(grams.select("model", *WORDS).distinct(), counts, WORDS)
+    # copies in several slices have the same sums
     return (
         grams.join(p, ["model", *WORDS])
-        .groupBy("text_id", "model")
+        .groupBy("text_id", "model", "part")
         .agg(F.sum("n").alias("n_words"), (-F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("word_nats"))
+        .groupBy("text_id", "model")
+        .agg(F.min("n_words").alias("n_words"), F.min("word_nats").alias("word_nats"))
     )

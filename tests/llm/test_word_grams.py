@@ -50,7 +50,7 @@ def test_scores_of_the_other_half(spark):
     texts = [*texts[:30], "two new words", "a", "a a a a"]
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
-    halves = {r.doc_id: r.h for r in docs.select("doc_id", kn._half("doc_id").alias("h")).collect()}
+    halves = {r.doc_id: r.h for r in docs.select("doc_id", kn._half().alias("h")).collect()}
     models = [plain_model([t for i, t in enumerate(texts[:30]) if halves[i] == h]) for h in (0, 1)]
     for r in kn.judge_quality(docs, labels).collect():
         p, s = models[1 - halves[r.doc_id]], [""] * (wg.ORDER - 1) + words(texts[r.doc_id])
@@ -72,3 +72,34 @@ def test_junk_that_shows_between_words_only(spark):
     assert sum(rows[i].kept for i in good) >= 19
     assert sum(rows[i].lowest <= rows[i].perplexity <= rows[i].highest for i in bad) >= 5
     assert not any(rows[i].kept for i in bad)
+
+
+def test_copies_of_a_text_change_nothing(spark):
+    """Equal texts have one score, and are counted once, under whatever ids."""
+    _, texts = corpus()
+    short = ["one two three four five", "six seven eight nine ten"]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    columns = ("n_words", "perplexity", "word_perplexity", "word_lowest", "word_highest", "kept")
+    once = documents(spark, [*texts[:40], *short])
+    many = documents(spark, [*texts[:40], *short, *[short[0]] * 400, *texts[35:40] * 3])
+    a = {r.doc_id: r for r in kn.judge_quality(once, labels).select("doc_id", *columns).collect()}
+    b = {r.doc_id: r for r in kn.judge_quality(many, labels).select("doc_id", *columns).collect()}
+    assert len(a) == 42 and len(b) == 457
+    same = {i: i for i in range(42)} | {42 + i: 40 for i in range(400)} | {442 + i: 35 + i % 5 for i in range(15)}
+    for i, j in same.items():
+        assert b[i].n_words == a[j].n_words and b[i].kept == a[j].kept
+        assert all(math.isclose(b[i][c], a[j][c], rel_tol=1e-9) for c in columns[1:5])
+    assert a[40].n_words == 5
+
+
+def test_a_language_with_one_half_is_judged_with_all_languages(spark):
+    _, texts = corpus()
+    halves = [r.h for r in documents(spark, texts[:60]).select("doc_id", kn._half().alias("h")).orderBy("doc_id").collect()]
+    langs = ["xx" if h == 0 and i < 20 else "en" for i, h in enumerate(halves)]
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in kn.judge_quality(documents(spark, texts[:60], langs=langs), labels).collect()}
+    pooled = {r.doc_id: r for r in kn.judge_quality(documents(spark, texts[:60], langs=["en"] * 60), labels).collect()}
+    for i, lang in enumerate(langs):
+        if lang == "xx":
+            assert math.isclose(rows[i].word_perplexity, pooled[i].word_perplexity, rel_tol=1e-9)
+            assert math.isclose(rows[i].word_highest, pooled[i].word_highest, rel_tol=1e-9)
