@@ -8,10 +8,11 @@ loop[byte])``. The step is taken for a whole batch of URLs at once, column by
 column, so the work is one array operation for each byte position and mask
 word, however many rules there are.
 
-Rules name a host suffix and a path prefix. The automaton reads the canonical
-URL ``.host/path`` against ``*.suffix/prefix*``, where the first star stays
-inside the host. No path can contribute to the host part, because the pattern's
-first slash has to be the URL's first slash.
+Rules name a host suffix and a path prefix, as they are or as globs, in which a
+star stands for any characters and a question mark for one. The automaton reads
+the canonical URL ``.host/path`` against ``*.suffix/prefix*``, where the first star,
+and every wildcard of the host, stays inside the host. No path can contribute to
+the host part, because the pattern's first slash has to be the URL's first slash.
 """
 
 from __future__ import annotations
@@ -32,9 +33,13 @@ ALLOW, BLOCK = "allow", "block"
 
 @dataclass(frozen=True)
 class Rule:
+    """``path`` begins with a slash. With ``glob``, ``*`` and ``?`` are wildcards in
+    both parts."""
+
     verdict: str
     host: str
     path: str
+    glob: bool = False
 
     @property
     def text(self) -> str:
@@ -50,31 +55,48 @@ RULES = (
 )
 
 
+def _places(rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What a rule reads, place by place: the bytes that lead to a place, and those
+    on which it stays. The first place has no way to it."""
+    every, none = np.ones(256, bool), np.zeros(256, bool)
+    in_host = every.copy()
+    in_host[ord("/")] = False
+    inside = np.zeros(256, bool)
+    inside[0x80:0xC0] = True  # the further bytes of a character
+    found = [(none, in_host.copy())]
+    for part, allowed in (("." + rule.host, in_host), (rule.path, every)):
+        for char in part:
+            if rule.glob and char == "*":
+                found[-1] = (found[-1][0], found[-1][1] | allowed)
+            elif rule.glob and char == "?":
+                found.append((allowed & ~inside, inside.copy()))
+            else:
+                found += [(np.arange(256) == byte, none) for byte in char.encode()]
+    return [*found[:-1], (found[-1][0], every)]
+
+
 class Automaton:
-    """Masks of all rules. Bit k of a rule's stretch stands for "the first k
-    literals are read"; bit 0 is the host star, the last bit the path star."""
+    """Masks of all rules. Bit k of a rule's stretch stands for "its first k places
+    are read"; bit 0 is the host star, the last bit the path star."""
 
     def __init__(self, rules: Sequence[Rule]):
         self.rules = list(rules)
-        literals = [("." + r.text).encode() for r in self.rules]
-        begins = np.cumsum([0, *[len(x) + 1 for x in literals]])
+        places = [_places(r) for r in self.rules]
+        begins = np.cumsum([0, *map(len, places)])
         self.words = max(1, -(-int(begins[-1]) // 64))
         self.literal = np.zeros((256, self.words), np.uint64)
         self.loop = np.zeros((256, self.words), np.uint64)
         self.start = np.zeros(self.words, np.uint64)
         self.accept: list[tuple[int, np.uint64]] = []
-        slash = ord("/")
-        for begin, text in zip(begins.tolist(), literals, strict=False):
-            word, bit = divmod(begin, 64)
-            self.start[word] |= np.uint64(1) << np.uint64(bit)
-            for byte in range(256):
-                if byte != slash:
-                    self.loop[byte, word] |= np.uint64(1) << np.uint64(bit)
-            for k, byte in enumerate(text, 1):
+        for begin, own in zip(begins.tolist(), places, strict=False):
+            for k, (led, stays) in enumerate(own):
                 word, bit = divmod(begin + k, 64)
-                self.literal[byte, word] |= np.uint64(1) << np.uint64(bit)
-            self.loop[:, word] |= np.uint64(1) << np.uint64(bit)
-            self.accept.append((word, np.uint64(1) << np.uint64(bit)))
+                one = np.uint64(1) << np.uint64(bit)
+                self.literal[led, word] |= one
+                self.loop[stays, word] |= one
+                if not k:
+                    self.start[word] |= one
+            self.accept.append((word, one))
         # the longest rule wins; of equally long ones a block, then the first
         self.order = sorted(
             range(len(self.rules)), key=lambda i: (len(self.rules[i].text), self.rules[i].verdict == BLOCK, -i)
@@ -130,7 +152,9 @@ def judge_urls(
     end, with A-Z lower-cased; the path goes on to ``?``, ``#`` or the end. A
     null URL, an empty one and one without ``://`` have an empty host and path.
     No rule fits them, as no rule fits an empty path: rule is null and the
-    verdict is ``default``. Repeated rows and ids are judged each on its own.
+    verdict is ``default``. The longest rule counts, wildcards included; of equally
+    long ones one that blocks, then the first. Repeated rows and ids are judged each
+    on its own, URLs of any length as a whole. An empty table gives no rows.
     """
     url = pages[url_col]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
