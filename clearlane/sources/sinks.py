@@ -21,9 +21,10 @@ log = logging.getLogger(__name__)
 
 
 def _path(spark: SparkSession, path: str):
-    """A Hadoop path and the file system it is on."""
+    """A path with its file system's name in front, and the file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.makeQualified(target), files
 
 
 def target_exists(spark: SparkSession, path: str) -> bool:

@@ -188,3 +188,15 @@ def test_a_sketch_of_other_values_is_an_error(spark):
     sketch = ranking.merged_sketch(ranking.quantile_sketches(frame.filter("x < 40"), "x"))
     with pytest.raises(ValueError, match="not one of these values"):
         ranking.quantile_edges(frame, "x", 10, sketch)
+
+
+def test_edges_take_two_passes_over_the_rows(spark, monkeypatch):
+    frame = spark.createDataFrame([(float(i % 700),) for i in range(5000)], "x double")
+    passes, whole = [], ranking._values
+    monkeypatch.setattr(ranking, "_values", lambda *a: passes.append(1) or whole(*a))
+    ranking.quantile_edges(frame, "x", 10)
+    assert len(passes) == 2
+    sketch = ranking.merged_sketch(ranking.quantile_sketches(frame, "x"))
+    passes.clear()
+    ranking.quantile_edges(frame, "x", 10, sketch)
+    assert len(passes) == 1

@@ -114,6 +114,12 @@ def test_of_two_writers_one_wins_whole(spark, tmp_path):
     assert not [x for x in sinks.children(spark, path) if x.startswith(("_aside", "_owner"))]
 
 
+def test_a_relative_target_lies_in_the_working_folder(spark):
+    files = sinks._path(spark, "x")[1]
+    target, _ = sinks._path(spark, "x")
+    assert target.getParent().toString().rstrip("/") == files.getWorkingDirectory().toString().rstrip("/")
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     path = str(tmp_path / "table")
 
