@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -14,13 +15,12 @@ def frame(spark, rows):
 
 
 def brute_notices(rows):
-    """(row, line) -> (licence, score): cosine with every template."""
+    """(row, line) -> (licence, score): cosine with every template; the line of a
+    whole file is None."""
     split = lambda t: re.findall(licenses.TERM, (t or "").lower())
     n = len(rows)
-    templates = [(name, split(t)) for name, ts in licenses.TEMPLATES.items() for t in ts]
-    vocabulary = {t for _, ts in templates for t in ts}
-    df = {t: sum(t in split(r[2]) for r in rows) for t in vocabulary}
-    idf = lambda t: math.log((1 + n) / (1 + max(1, df[t]))) + 1 if t in df else math.log((1 + n) / 2) + 1
+    df = Counter(t for r in rows for t in set(split(r[2])))
+    idf = lambda t: math.log((1 + n) / (1 + max(1, df[t]))) + 1
 
     def vector(ts):
         v = {t: (1 + math.log(ts.count(t))) * idf(t) for t in ts}
@@ -29,15 +29,25 @@ def brute_notices(rows):
 
     out = {}
     for k, r in enumerate(rows):
-        for i, line in enumerate((r[2] or "").split("\n")):
-            if ts := split(line):
+        units = [(None, r[2] or "", licenses.TEXTS), *((i, x, licenses.TEMPLATES) for i, x in enumerate((r[2] or "").split("\n")))]
+        for i, unit, templates in units:
+            if ts := split(unit):
                 v = vector(ts)
-                best = min((-round(sum(x * v.get(t, 0) for t, x in vector(own).items()), 6), name) for name, own in templates)
+                own = [(name, vector(split(t))) for name, texts in templates.items() for t in texts]
+                best = min((-round(sum(x * v.get(t, 0) for t, x in w.items()), 6), name) for name, w in own)
                 if -best[0] >= licenses.COSINE:
                     out[k, i] = (best[1], -best[0])
     return out
 
 
+MIT = licenses.TEXTS["MIT"][0]
+
+
+def wrapped(text, width=9):
+    ws = text.split()
+    return "\n".join(" ".join(ws[i : i + width]) for i in range(0, len(ws), width))
+
+
 ROWS = [
     (1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."),
     (2, "a/x.txt", "some words here\nmore of them"),
@@ -54,6 +64,14 @@ ROWS = [
     (13, "two/L1", "All rights reserved."),
     (14, "two/L2", "Released under the MIT License."),
     (15, "two/t.txt", "x"),
+    (16, "mit/doc.txt", "MIT License\n\nCopyright (c) 2019 Some Body\n\n" + wrapped(MIT)),
+    (17, "mit/src/a.txt", "code of the file"),
+    (18, "part/doc.txt", wrapped(licenses.TEXTS["MIT"][1])),
+    (19, "part/b.txt", "other code"),
+    (20, "bsd/doc.txt", "Copyright 2020\n" + wrapped(licenses.TEXTS["BSD-3-Clause"][0], 12)),
+    (21, "named/LICENSE", "                 Apache License\n           Version 2.0, January 2004\n" + " ".join(f"z{i}" for i in range(900))),
+    (22, "named/x/c.txt", "more code"),
+    (23, "quoted/essay.txt", "They said the software is provided as is and talked of the copyright notice. " + " ".join(f"q{i}" for i in range(60))),
     *[(100 + i, f"odd/{i}.txt", t) for i, t in enumerate(ODD)],
 ]
 
@@ -62,8 +80,9 @@ def test_own_notices_and_inheritance(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, ROWS)).collect()}
     assert len(got) == len(ROWS)
     own = {}
-    for (k, _), (name, score) in brute_notices(ROWS).items():
-        own[ROWS[k][0]] = min(own.get(ROWS[k][0], (0, "")), (-score, name))
+    for (k, line), (name, score) in brute_notices(ROWS).items():
+        own[ROWS[k][0]] = min(own.get(ROWS[k][0], (2, 0, "")), (line is not None, -score, name))
+    own = {i: x[1:] for i, x in own.items()}
     assert {i: (-r.score, r.header_licence) for i, r in got.items() if r.header_licence} == own
     assert own[11] == (-1.0, "CC-BY-NC-4.0") and own[12] == (-1.0, "CC-BY-SA-4.0") and 7 not in own
     found = {i: (r.licence, r.origin, r.declared_in) for i, r in got.items()}
@@ -73,7 +92,33 @@ def test_own_notices_and_inheritance(spark):
     assert found[4] == ("MIT", "header", None)
     assert found[6] == ("GPL-3.0", "directory", "a/b/d")
     assert found[15] == ("LicenseRef-Proprietary", "directory", "two")  # of equals, the first by name
-    assert all(found[i] == (None, None, None) for i in (7, 8, 9))
+    assert all(found[i] == (None, None, None) for i in (7, 8, 9, 23))
+    assert all(found[i] == ("MIT", "file", None) for i in (16, 18)) and found[20][:2] == ("BSD-3-Clause", "file")
+    assert found[17] == ("MIT", "directory", "mit") and found[19] == ("MIT", "directory", "part")
+    assert found[21] == ("Apache-2.0", "file", None) and found[22] == ("Apache-2.0", "directory", "named")
+
+
+def test_scores_do_not_depend_on_how_many_files_there_are(spark):
+    rows = [(i, f"d{i}/f.txt", f"words of file number {i % 5} by the people here") for i in range(20)]
+    rows.append((20, "n/f.txt", "Sample scripts released under the MIT License"))
+    rows += [(21 + i, f"s{i}/f.txt", "sample scripts of the week") for i in range(9)]
+    scores = []
+    for times in (1, 40):
+        many = [(i + 1000 * k, f"k{k}/{p}", t) for k in range(times) for i, p, t in rows]
+        got = licenses.scan_licenses(frame(spark, many)).filter("header_licence = 'MIT'").collect()
+        assert len(got) == times and len({r.score for r in got}) == 1
+        scores.append(got[0].score)
+    assert abs(scores[0] - scores[1]) < 0.05
+
+
+def test_files_without_enough_of_a_text_cannot_reach_the_cosine(spark):
+    """The first filter keeps every file that a cosine of the threshold has."""
+    texts = [" ".join(MIT.split()[: 10 * k]) for k in range(1, 17)] + [" ".join(MIT.split()[::k]) for k in range(2, 9)]
+    rows = [(i, f"p{i}/f.txt", t) for i, t in enumerate(texts)]
+    found = {rows[k][0] for (k, line) in brute_notices(rows) if line is None}
+    assert 3 < len(found) < len(rows)
+    got = {r.doc_id for r in licenses.notices(frame(spark, rows).select("doc_id", "path", "text"), licenses.TEMPLATES, licenses.TEXTS, licenses.COSINE)[1].collect()}
+    assert got == found
 
 
 def test_repeated_rows_nulls_and_empty(spark):
