@@ -161,10 +161,13 @@ HEADER_COLUMNS = (
 )
 
 
-def known_details(tables: Tables, keep_name_fanout: bool = False) -> DataFrame:
-    """Detail lines whose code has a name."""
+def known_details(tables: Tables, keep_name_fanout: bool = False, copies: str | None = None) -> DataFrame:
+    """Detail lines whose code has a name. The column ``copies`` says how often the
+    names repeat a line, which is there once then."""
     codes = tables["lu_px_cpt"].select(F.col("procedure_code").alias("px_code"))
     detail = tables["referral_det"].select("referral_key", "px_code", "units")
+    if keep_name_fanout and copies is not None:
+        return detail.join(codes.groupBy("px_code").agg(F.count(F.lit(1)).alias(copies)), "px_code").select(*detail.columns, copies)
     return detail.join(codes, "px_code", "inner" if keep_name_fanout else "left_semi").select(*detail.columns)
 
 
@@ -174,18 +177,22 @@ def referral_lines(
     communities: Sequence[str] = K.COMMUNITIES,
     with_priority: bool = True,
     keep_name_fanout: bool = False,
+    copies: str | None = None,
 ) -> DataFrame:
     """One row per procedure line of a referral.
 
     A code can have several names in the code lookup. By default the lookup
     only has to contain the code; ``keep_name_fanout`` repeats the line per
-    name as a plain inner join does.
+    name as a plain inner join does. With a name for ``copies`` it does not write
+    the repeated lines out: each is one row, and this column their number. Sums
+    over lines then take it as a weight.
     """
-    detail = known_details(tables, keep_name_fanout)
+    detail = known_details(tables, keep_name_fanout, copies)
     headers = resolved_headers(tables, window, communities, with_priority)
     extra = ["urgent"] if with_priority else []
+    weight = [copies] if keep_name_fanout and copies is not None else []
     return detail.join(headers, "referral_key").select(
-        F.col("px_code").alias("cpt_code"), *HEADER_COLUMNS, *extra, "units", "lob"
+        F.col("px_code").alias("cpt_code"), *HEADER_COLUMNS, *extra, "units", "lob", *weight
     )
 
 

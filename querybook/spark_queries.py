@@ -192,8 +192,9 @@ def referral_extract_new(b: Book) -> DataFrame:
 @query
 def referral_name_fanout(b: Book) -> DataFrame:
     """Lines repeated for every name of their code, as a plain join does."""
-    lines = warehouse.referral_lines(b.referral_tables(), S.REFERRAL_WINDOW, keep_name_fanout=True)
-    return lines.groupBy("cpt_code", "specialty").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"))
+    lines = warehouse.referral_lines(b.referral_tables(), S.REFERRAL_WINDOW, keep_name_fanout=True, copies="k")
+    n = F.coalesce(F.sum("k"), F.lit(0))  # a group has a line; the type of a count
+    return lines.groupBy("cpt_code", "specialty").agg(n.alias("n"), F.sum(F.col("units") * F.col("k")).alias("units"))
 
 
 @query

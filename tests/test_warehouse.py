@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from clearlane.sources import warehouse
 
@@ -106,6 +107,18 @@ def test_referral_lines(spark):
     assert warehouse.referral_lines(tables, keep_name_fanout=True).count() == 2
 
 
+def test_repeated_names_are_counted_not_written_out(spark):
+    tables = _referral_tables(spark)
+    names = spark.range(10_000).select(F.lit("x").alias("procedure_code"), F.lit(None).cast("string").alias("name"))
+    codes = spark.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), 'a'), ('y', 'b') t(procedure_code, name)")
+    tables["lu_px_cpt"] = names.union(codes)
+    counted = warehouse.referral_lines(tables, keep_name_fanout=True, copies="k").collect()
+    assert [(r["auth_number"], r["cpt_code"], r["k"]) for r in counted] == [("A1", "x", 10_000)]
+    plain = warehouse.referral_lines(tables, keep_name_fanout=True)
+    assert plain.count() == 10_000 and "k" not in plain.columns
+    assert "k" not in warehouse.referral_lines(tables, copies="k").columns
+
+
 def test_referral_headers(spark):
     rows = warehouse.referral_headers(_referral_tables(spark)).collect()
     assert sorted(r["auth_number"] for r in rows) == ["A1", "A5"]
