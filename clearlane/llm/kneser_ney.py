@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from clearlane.llm import tokens as T
 from clearlane.llm import word_grams
-from clearlane.operators.staging import stage, stage_table
+from clearlane.operators.staging import stage_table
 
 ORDER = 4
 SYMBOLS = 32
@@ -287,18 +287,22 @@ def _word_judgement(base: DataFrame, trusted: DataFrame, low: float, high: float
     (word_base, word_lo, word_hi), the quantiles of the trusted documents."""
     identified = lambda rows: rows.withColumn("text_id", word_grams.text_id()).withColumn("half", _half())
     trusted = identified(trusted)
-    counts = stage_table(word_grams.gram_counts(trusted))
-    rows = word_grams.with_model(identified(base).select("text_id", "lang", "half", "text"), counts)
-    texts = rows.select("text_id", "text", "model", F.col("base").alias("word_base"))
-    reference = word_grams.with_model(trusted.select("text_id", "lang", "half", "text"), counts)
+    whole = word_grams.two_halves(trusted)
+    rows = word_grams.with_model(identified(base).select("text_id", "lang", "half", "text"), whole)
+    reference = word_grams.with_model(trusted.select("text_id", "lang", "half", "text"), whole)
+    texts = rows.select("text_id", "text", "base", "half")
+    # a language without its own models is not learned by itself
+    learned = reference.filter(F.col("base") != word_grams.OTHER).select("text_id", "text", "base", "half")
     # limits of all languages together are those of all trusted texts there
     other = F.lit(word_grams.OTHER)
-    some = not texts.filter(F.col("word_base") == other).isEmpty()
+    some = not texts.filter(F.col("base") == other).isEmpty()
     if some:
         pooled = reference.withColumn("base", other).withColumn("model", word_grams.half_model(other, 1 - F.col("half")))
         reference = reference.filter(F.col("base") != other).union(pooled)
-        texts = texts.union(pooled.select("text_id", "text", "model", F.col("base").alias("word_base")))
-    scores = stage_table(word_grams.word_scores(texts, counts))
+        pooled = pooled.select("text_id", "text", "base", "half")
+        texts, learned = texts.union(pooled), learned.union(pooled)
+    scores = stage_table(word_grams.word_scores(texts, learned), keep_shuffles=False)
+    rows = rows.drop("text")
     judged = rows.select("text_id", "lang", "model", F.col("base").alias("word_base")).distinct().join(scores, ["text_id", "model"])
     # the mean of a short document varies more; its allowance is taken off
     # before the quantiles, and given back to the judged document
@@ -345,7 +349,7 @@ def judge_quality(
     trusted_ids = labels.filter(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
     # the ids grow with the corpus: a shuffle at every size, never a broadcast
     trusted = base.join(trusted_ids.hint("shuffle_hash"), "doc_id", "left_semi").filter("length(text) > 0")
-    counts = stage(ngram_counts(trusted))
+    counts = stage_table(ngram_counts(trusted), keep_shuffles=False)
     known = {r["lang"] for r in counts.select("lang").distinct().collect()}  # a name for each model
     if not known:
         nothing = F.lit(None).cast("double")

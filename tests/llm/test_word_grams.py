@@ -2,6 +2,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from clearlane.llm import kneser_ney as kn
 from clearlane.llm import word_grams as wg
 from tests.llm.cases import documents, words
@@ -103,3 +106,51 @@ def test_a_language_with_one_half_is_judged_with_all_languages(spark):
         if lang == "xx":
             assert math.isclose(rows[i].word_perplexity, pooled[i].word_perplexity, rel_tol=1e-9)
             assert math.isclose(rows[i].word_highest, pooled[i].word_highest, rel_tol=1e-9)
+
+
+def test_many_parts_are_one_model(spark, monkeypatch):
+    """The n-grams may be dealt to any number of parts."""
+    _, texts = corpus()
+    docs = documents(spark, [*texts[:40], "two new words", None, "a a a a", texts[3]], langs=["en", "fr"] * 22)
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    columns = ("n_words", "word_perplexity", "word_lowest", "word_highest")
+    one = {r.doc_id: r for r in kn.judge_quality(docs, labels).select("doc_id", *columns).collect()}
+    monkeypatch.setattr(wg, "PART_BYTES", 1000)
+    many = {r.doc_id: r for r in kn.judge_quality(docs, labels).select("doc_id", *columns).collect()}
+    assert sum(len(t.encode()) for t in texts[:40]) > 20_000 and len(one) == len(many) == 44
+    for i, r in one.items():
+        assert many[i].n_words == r.n_words
+        assert all((many[i][c] is None) == (r[c] is None) for c in columns)
+        assert all(math.isclose(many[i][c], r[c], rel_tol=1e-9) for c in columns if r[c] is not None)
+
+
+def test_n_grams_travel_in_few_bytes():
+    """Not as a row with three hashes of 8 bytes, the text, the model and the count."""
+    rng = np.random.default_rng(1)
+    words = np.arange(30_001, dtype=np.uint32) * 7
+    seq = rng.integers(1, 30_001, 100_000).astype(np.uint32)
+    row = {"slice": 1, "base": "=en", "trained": False, "texts": b"", "lengths": wg._pack(np.full(1000, 100)), "words": wg._pack_sorted(words), "seq": wg._pack(seq)}
+    for pairs, most in ((False, 8), (True, 6)):
+        blocks = [x for b in wg._deal_grams(iter([pa.RecordBatch.from_pylist([row])]), 4, pairs) for x in b.to_pylist()]
+        assert {x["part"] for x in blocks} == set(range(4))
+        assert sum(len(y) for x in blocks for y in x["data"]) < most * len(seq)
+    keys = [wg._unpack_sorted(x["data"][0], np.uint64) for x in blocks]
+    _, _, w1, w2 = wg._grams(row)
+    assert sorted(np.concatenate(keys).tolist()) == np.unique(wg._pair(words[w1], words[w2])).tolist()
+
+
+def test_slices_with_very_many_words():
+    """The order does not depend on whether an n-gram fits 64 bits."""
+    rng = np.random.default_rng(2)
+    a, b, c = (rng.integers(0, 40, 5000) for _ in range(3))
+    few, many = np.arange(41, dtype=np.uint32), np.arange(2_200_000, dtype=np.uint32)
+    for x, y in zip(wg._different(few, a, b, c, 5), wg._different(many, a, b, c, 5), strict=True):
+        assert np.array_equal(x, y)
+
+
+def test_numbers_are_packed_as_they_are():
+    for values in ([], [0], [255, 256, 1 << 40], [-1, 5, -(1 << 62)], [1 << 16]):
+        x = np.array(values, np.int64)
+        assert wg._unpack(wg._pack(x), np.int64).tolist() == values
+    x = np.array([3, 3, (1 << 64) - 1], np.uint64)
+    assert np.array_equal(wg._unpack_sorted(wg._pack_sorted(x), np.uint64), x)
