@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,19 @@ def test_shared_referral_number_gives_the_same_report(spark):
     shared = approval.attach_referral_decision(approval.score_lines(rows, decisions))
     assert shared.filter("auth_number = 'SHARED'").select("aa_yn").distinct().collect()[0][0] == 0
     assert shared.count() == 3000
+
+
+def test_shuffled_files_of_a_staged_table_go_at_once(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in files.mkString("\n").split("\n") if x.endswith(".data") and "shuffle_" in x}
+
+    setting = spark.conf.get(staging.SHUFFLE_CLEANUP)
+    rows = spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffled()
+    got = staging.stage_table(rows, keep_shuffles=False)
+    end = time.time() + 20  # Spark removes them in the background
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert got.count() == 7 and spark.conf.get(staging.SHUFFLE_CLEANUP) == setting
