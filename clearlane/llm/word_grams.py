@@ -148,7 +148,7 @@ def _cut_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bounds(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(part, from, to) of ascending parts."""
     at = np.flatnonzero(np.diff(part, prepend=-1))
-    yield from zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True)
+    yield from zip(part[at].tolist(), at.tolist(), np.append(at, len(part))[1:].tolist(), strict=True)
 
 
 def _range_part(hashes: np.ndarray, parts: int) -> np.ndarray:

@@ -154,3 +154,10 @@ def test_numbers_are_packed_as_they_are():
         assert wg._unpack(wg._pack(x), np.int64).tolist() == values
     x = np.array([3, 3, (1 << 64) - 1], np.uint64)
     assert np.array_equal(wg._unpack_sorted(wg._pack_sorted(x), np.uint64), x)
+
+
+def test_a_slice_without_known_words_asks_for_nothing():
+    row = {"slice": 1, "base": "=en", "trained": False, "texts": b"", "lengths": wg._pack(np.array([3])), "words": wg._pack_sorted(np.zeros(1, np.uint32)), "seq": wg._pack(np.ones(3, np.int64))}
+    blocks = {pairs: list(wg._deal_grams(iter([pa.RecordBatch.from_pylist([row])]), 4, pairs)) for pairs in (False, True)}
+    assert blocks[True] == []  # the first word still has the context of two borders
+    assert [x["data"] for b in blocks[False] for x in b.to_pylist()] == [[wg._pack_sorted(np.zeros(1, np.uint64)), wg._pack(np.array([wg.UNKNOWN]))]]
