@@ -52,6 +52,7 @@ WORDS = 1 << 20
 RANK = 256
 ITEMS = RANK // 2  # half of the weight is the items', so a block fits the directions
 OVERSAMPLING = 16
+ITEMS_AT_ONCE = 16
 # words in more than this share of documents, and in more than ``FEW``, are left
 # out of the vectors, but for the rarest words of each item
 COMMON = 0.02
@@ -280,8 +281,12 @@ def latent_basis(numbered: DataFrame, terms: Terms, rank: int = RANK) -> np.ndar
         if summed.num_rows:
             product[summed.column("term").to_numpy()] = summed.column("v").chunk(0).flatten().to_numpy().reshape(summed.num_rows, -1)
         product, passages = product[:n], max(1.0, product[n, 0])
-        own = _times(at, term, value, len(rows), basis)
-        np.add.at(product, term, own[at] * value[:, None] * (passages / max(1, len(rows))))
+        # some items at a time, as the driver holds little
+        for first in range(0, len(rows), ITEMS_AT_ONCE):
+            mine = slice(*np.searchsorted(at, [first, first + ITEMS_AT_ONCE]))
+            row = at[mine] - first
+            own = _times(row, term[mine], value[mine], min(ITEMS_AT_ONCE, len(rows) - first), basis)
+            np.add.at(product, term[mine], own[row] * value[mine, None] * (passages / max(1, len(rows))))
         shared.destroy()
         if not last:
             basis = _orthonormal(product)

@@ -31,12 +31,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearlane.llm import tokens as T
 from clearlane.llm import word_grams
-from clearlane.operators.staging import stage_table
+from clearlane.operators.staging import release, stage_table, staged
 
 ORDER = 4
 SYMBOLS = 32
@@ -76,18 +78,16 @@ def symbol_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each symbol, and the offsets of the texts."""
     data, offsets = T.text_bytes(column)
     symbols = CLASS[data]
-    keep = symbols != DROPPED
-    kept_before = np.concatenate([[0], np.cumsum(keep)])
-    symbols, offsets = symbols[keep], kept_before[offsets]
-    lengths = np.diff(offsets)
-    pad = ORDER - 1
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    padded = np.zeros(len(symbols) + pad * len(lengths), np.int32)
-    at = np.arange(len(symbols)) + pad * (doc + 1)
-    padded[at] = symbols
-    code = np.zeros(len(symbols), np.int32)
-    for back in range(pad, -1, -1):
-        code = code * np.int32(SYMBOLS) + padded[at - back]
+    dropped = np.flatnonzero(symbols == DROPPED)
+    if len(dropped):
+        symbols, offsets = np.delete(symbols, dropped), offsets - np.searchsorted(dropped, offsets)
+    code = symbols.astype(np.int32)
+    for back in range(1, ORDER):
+        code[back:] += symbols[:-back] * np.int32(SYMBOLS**back)
+    # before a text there are borders, not the symbols of the text before
+    for at in range(ORDER - 1):
+        early = offsets[:-1][np.diff(offsets) > at] + at
+        code[early] %= SYMBOLS ** (at + 1)
     return code, offsets
 
 
@@ -119,10 +119,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.slices(batches, "text"):
         code, offsets = symbol_codes(batch.column("text"))
         keys = list(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), strict=True))
-        for key in {*keys}:
-            mine = np.asarray([x == key for x in keys])
+        pieces: dict[tuple, list[np.ndarray]] = {}
+        for key, start, end in zip(keys, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            pieces.setdefault(key, []).append(code[start:end])
+        for key, own in pieces.items():
             parts = waiting.setdefault(key, [])
-            parts.append(code[np.repeat(mine, np.diff(offsets))])
+            parts.append(np.concatenate(own))  # a copy, which does not hold the batch
             if sum(map(len, parts)) > COUNT_AT_ONCE:
                 add(key)
         # however many languages there are, a task holds a few tables
@@ -157,12 +159,24 @@ def ngram_counts(trusted: DataFrame) -> DataFrame:
     return each.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For counts (lang, code, n) of one order: (lang, code, context, share)
-    with the discounted relative frequency, and (lang, context, rest) with the
-    weight that a context leaves to the lower order."""
+def _levels(counts: DataFrame) -> DataFrame:
+    """(k, lang, code, n) of every order k, from those of the highest."""
+    rows = None
+    for k in range(ORDER, 0, -1):
+        own = counts.select(F.lit(k).alias("k"), "lang", "code", "n")
+        rows = own if rows is None else rows.union(own)
+        # how many different symbols come before an n-gram of the lower order
+        counts = counts.groupBy("lang", F.pmod("code", F.lit(SYMBOLS ** (k - 1))).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return rows
+
+
+def model_rows(counts: DataFrame) -> DataFrame:
+    """(k, lang, code, share, rest) of the seen n-grams of every order k: the
+    discounted relative frequency, and the weight that the n-gram's context leaves to
+    the lower order. All orders go through the same few shuffles."""
+    counts = stage_table(_levels(counts), keep_shuffles=False)
     of = lambda k: F.count(F.when(F.col("n") == k, 1)).cast("double")
-    kinds = counts.groupBy("lang").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    kinds = counts.groupBy("k", "lang").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
 
     def discount(k: int):
@@ -170,67 +184,61 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         value = F.when((lower > 0) & (upper > 0), k - (k + 1) * y * upper / lower).otherwise(0.5 * k)
         return F.least(F.greatest(value, F.lit(0.05)), F.lit(k - 0.05))
 
-    cuts = kinds.select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
+    cuts = kinds.select("k", "lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # one row for each model
-    rows = counts.join(F.broadcast(cuts), "lang").select(
-        "lang", "code", F.floor(F.col("code") / SYMBOLS).alias("context"), "n", cut.alias("cut")
-    )
-    contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cut"))
-    shares = rows.join(contexts.select("lang", "context", "total"), ["lang", "context"]).select(
-        "lang", "code", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")
-    )
-    return shares, contexts.select("lang", "context", (F.col("cut") / F.col("total")).alias("rest"))
+    context = F.floor(F.col("code") / SYMBOLS).alias("context")
+    # a row for each order of each model
+    rows = counts.join(F.broadcast(cuts), ["k", "lang"]).select("k", "lang", "code", context, "n", cut.alias("cut"))
+    same = Window.partitionBy("k", "lang", "context")  # SYMBOLS rows at most
+    total = F.sum("n").over(same)
+    share = (F.col("n") - F.col("cut")) / total
+    return rows.select("k", "lang", "code", share.alias("share"), (F.sum("cut").over(same) / total).alias("rest"))
+
+
+def dense_table(rows: pa.Table) -> np.ndarray:
+    """Minus the log probability of every n-gram of one model. Unseen n-grams have
+    the lower order's probability times the context's rest."""
+    k, code = rows["k"].to_numpy(), rows["code"].to_numpy()
+    share, rest = rows["share"].to_numpy(), rows["rest"].to_numpy()
+    lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
+    for order in range(1, ORDER + 1):
+        own = k == order
+        left = np.ones(SYMBOLS ** (order - 1))
+        left[code[own] // SYMBOLS] = rest[own]
+        if order == 1:
+            table = left[0] * lower
+        else:
+            # n-gram w1..wk has the lower order n-gram w2..wk
+            table = (left.reshape(SYMBOLS, -1)[:, :, None] * lower.reshape(1, -1, SYMBOLS)).reshape(-1)
+        table[code[own]] += share[own]
+        lower = table
+    return -np.log(lower).astype(np.float32).astype(np.float16)
 
 
-def model_rows(counts: DataFrame) -> DataFrame:
-    """(k, lang, code, share, rest) of every order k: ``share`` of each seen
-    n-gram, and ``rest`` of each seen context, as rows with null in the other."""
-    rows = None
-    for k in range(ORDER, 0, -1):
-        shares, rests = _discounted(counts)
-        own = shares.select(F.lit(k).alias("k"), "lang", "code", "share", F.lit(None).cast("double").alias("rest")).union(
-            rests.select(F.lit(k).alias("k"), "lang", F.col("context").alias("code"), F.lit(None).cast("double").alias("share"), "rest")
-        )
-        rows = own if rows is None else rows.union(own)
-        # how many different symbols come before an n-gram of the lower order
-        counts = counts.groupBy("lang", F.pmod("code", F.lit(SYMBOLS ** (k - 1))).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return rows
+def dense_model(rows: pa.Table) -> dict[str, np.ndarray]:
+    """The table of each model."""
+    names = sorted({*rows["lang"].to_pylist()})
+    return {name: dense_table(rows.filter(pc.equal(rows["lang"], name))) for name in names}
 
 
-def dense_model(rows: pa.Table) -> dict[str, np.ndarray]:
-    """For each model, minus the log probability of every n-gram. Unseen
-    n-grams have the lower order's probability times the context's rest."""
-    k, code = rows["k"].to_numpy(), rows["code"].to_numpy()
-    share, rest = rows["share"].to_numpy(), rows["rest"].to_numpy()  # null is NaN
-    names, lang = np.unique(rows["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    models = {}
-    for number, name in enumerate(names.tolist()):
-        lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-        for order in range(1, ORDER + 1):
-            own = (lang == number) & (k == order)
-            context, seen = own & ~np.isnan(rest), own & ~np.isnan(share)
-            left = np.ones(SYMBOLS ** (order - 1))
-            left[code[context]] = rest[context]
-            if order == 1:
-                table = left[0] * lower
-            else:
-                # n-gram w1..wk has the lower order n-gram w2..wk
-                table = (left.reshape(SYMBOLS, -1)[:, :, None] * lower.reshape(1, -1, SYMBOLS)).reshape(-1)
-            table[code[seen]] += share[seen]
-            lower = table
-        models[name] = -np.log(lower).astype(np.float32).astype(np.float16)
+def _dense_models(counts: DataFrame, names: list[str]) -> dict[str, Broadcast]:
+    """The table of each model of ``names``. The driver holds one of them at a time."""
+    kept, context = staged(), counts.sparkSession.sparkContext
+    rows = stage_table(model_rows(counts.filter(F.col("lang").isin(names))), keep_shuffles=False)
+    models = {name: context.broadcast(dense_table(rows.filter(F.col("lang") == name).drop("lang").toArrow())) for name in names}
+    release(keep=kept)
     return models
 
 
-def _score(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], models: dict[str, Broadcast]) -> Iterator[pa.RecordBatch]:
     """Mean loss of each document under its language's model, and under that of
     the half of the trusted documents that it is not in."""
-    tables = models.value
+    tables = {name: model.value for name, model in models.items()}
+    pooled = _names(None)
     for batch in T.slices(batches, "text"):
         code, offsets = symbol_codes(batch.column("text"))
         n = np.diff(offsets)
-        pooled = _names(None)
+        docs = np.flatnonzero(n)
         mine = [_names(x) for x in batch.column("lang").to_pylist()]
         mine = [x if x[0] in tables else pooled for x in mine]
         langs = [x[0] for x in mine]
@@ -238,12 +246,10 @@ def _score(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch
         means = []
         for names in (langs, others):
             total = np.zeros(len(n))
-            names = np.asarray([x if x in tables else pooled[0] for x in names])
-            for name in {*names.tolist()}:
-                docs = np.flatnonzero((names == name) & (n > 0))
-                if len(docs):
-                    loss = tables[name][code[np.repeat((names == name) & (n > 0), n)]].astype(np.float64)
-                    total[docs] = np.add.reduceat(loss, np.cumsum(n[docs]) - n[docs])
+            if len(docs):
+                own = [tables.get(x, tables[pooled[0]]) for x in names]
+                loss = [table[code[start:end]] for table, start, end in zip(own, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                total[docs] = np.add.reduceat(np.concatenate(loss).astype(np.float64), offsets[docs])
             means.append(pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0)))
         yield pa.RecordBatch.from_arrays(
             [
@@ -266,9 +272,8 @@ def _scored(rows: DataFrame, counts: DataFrame, known: set[str]) -> DataFrame:
     found = None
     for at in range(0, max(1, len(langs)), step):
         block = langs[at : at + step]
-        names = [name for x in (*block, None) for name in _names(x)]
-        table = model_rows(counts.filter(F.col("lang").isin(names))).toArrow()
-        models = rows.sparkSession.sparkContext.broadcast(dense_model(table))
+        names = [name for x in (*block, None) for name in _names(x) if name in known]
+        models = _dense_models(counts, names)
         others = langs[step:]
         own = F.col("lang").isin(block) if at else (F.col("lang").isNull() | ~F.col("lang").isin(others)) if others else F.lit(True)
         part = stage_table(
@@ -277,32 +282,33 @@ def _scored(rows: DataFrame, counts: DataFrame, known: set[str]) -> DataFrame:
                 "doc_id long, text_id long, lang string, model string, half int, n_symbols long, nats double, held_out double",
             )
         )
-        models.destroy()  # the scores are written
+        for model in models.values():
+            model.destroy()  # the scores are written
         found = part if found is None else found.union(part)
     return found
 
 
-def _word_judgement(base: DataFrame, trusted: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+def _word_judgement(base: DataFrame, trusted: DataFrame, scored: DataFrame, reference: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
     """(text_id, lang, word_base, n_words, word_nats) of the different texts, and
-    (word_base, word_lo, word_hi), the quantiles of the trusted documents."""
-    identified = lambda rows: rows.withColumn("text_id", word_grams.text_id()).withColumn("half", _half())
-    trusted = identified(trusted)
+    (word_base, word_lo, word_hi), the quantiles of the trusted documents. ``scored`` has
+    the rows of ``base`` without their texts, ``reference`` those of ``trusted``."""
+    columns = ("text_id", "lang", "half")
     whole = word_grams.two_halves(trusted)
-    rows = word_grams.with_model(identified(base).select("text_id", "lang", "half", "text"), whole)
-    reference = word_grams.with_model(trusted.select("text_id", "lang", "half", "text"), whole)
-    texts = rows.select("text_id", "text", "base", "half")
+    rows = word_grams.with_model(scored.select(*columns), whole)
+    reference = word_grams.with_model(reference.select(*columns), whole)
+    texts = word_grams.with_model(base.select(*columns, "text"), whole).select("text_id", "text", "base", "half")
+    given = word_grams.with_model(trusted.select(*columns, "text"), whole).select("text_id", "text", "base", "half")
     # a language without its own models is not learned by itself
-    learned = reference.filter(F.col("base") != word_grams.OTHER).select("text_id", "text", "base", "half")
+    learned = given.filter(F.col("base") != word_grams.OTHER)
     # limits of all languages together are those of all trusted texts there
     other = F.lit(word_grams.OTHER)
     some = not texts.filter(F.col("base") == other).isEmpty()
     if some:
         pooled = reference.withColumn("base", other).withColumn("model", word_grams.half_model(other, 1 - F.col("half")))
         reference = reference.filter(F.col("base") != other).union(pooled)
-        pooled = pooled.select("text_id", "text", "base", "half")
-        texts, learned = texts.union(pooled), learned.union(pooled)
+        every = given.withColumn("base", other)
+        texts, learned = texts.union(every), learned.union(every)
     scores = stage_table(word_grams.word_scores(texts, learned), keep_shuffles=False)
-    rows = rows.drop("text")
     judged = rows.select("text_id", "lang", "model", F.col("base").alias("word_base")).distinct().join(scores, ["text_id", "model"])
     # the mean of a short document varies more; its allowance is taken off
     # before the quantiles, and given back to the judged document
@@ -346,6 +352,8 @@ def judge_quality(
     base = docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")
     )
+    # made before any join, so that texts are shuffled only where they are read
+    base = base.withColumn("text_id", word_grams.text_id()).withColumn("half", _half())
     trusted_ids = labels.filter(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
     # the ids grow with the corpus: a shuffle at every size, never a broadcast
     trusted = base.join(trusted_ids.hint("shuffle_hash"), "doc_id", "left_semi").filter("length(text) > 0")
@@ -355,7 +363,7 @@ def judge_quality(
         nothing = F.lit(None).cast("double")
         n = F.lit(None).cast("long")
         return base.select("doc_id", "lang", n.alias("n_symbols"), nothing.alias("perplexity"), nothing.alias("lowest"), nothing.alias("highest"), F.lit(True).alias("kept"), n.alias("n_words"), nothing.alias("word_perplexity"), nothing.alias("word_lowest"), nothing.alias("word_highest"))
-    scored = _scored(base.withColumn("half", _half()).withColumn("text_id", word_grams.text_id()), counts, known)
+    scored = _scored(base, counts, known)
     reference = scored.join(trusted_ids, "doc_id", "left_semi").filter("n_symbols > 0")
     own = F.lit(SLACK_ROOT) / F.sqrt(F.col("n_symbols") + 1)
     every = reference.select(
@@ -366,7 +374,7 @@ def judge_quality(
     limits = every.groupBy("model").agg(
         F.percentile_approx("above", low, 100_000).alias("lo"), F.percentile_approx("below", high, 100_000).alias("hi")
     )
-    by_words, word_limits = _word_judgement(base, trusted, low, high)
+    by_words, word_limits = _word_judgement(base, trusted, scored, reference, low, high)
     by_words = by_words.withColumn("lang", F.coalesce("lang", F.lit("")))
     slack = own + F.lit(SLACK)
     word_slack = F.lit(WORD_SLACK_ROOT) / F.sqrt(F.col("n_words") + 1) + F.lit(WORD_SLACK)

@@ -146,3 +146,43 @@ def test_held_out_documents(held_out):
     bad = [r.kept for r in held_out if r.quality == 0]
     assert sum(good) >= 0.98 * len(good)
     assert sum(bad) <= 0.2 * len(bad)
+
+
+def test_the_driver_gets_one_model_at_a_time(spark, monkeypatch):
+    """The rows of all models together were collected at once before."""
+    docs = documents(spark, TEXTS * 4, langs=["en", "fr"] * 10)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    collected, plain = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda frame: collected.append(plain(frame)) or collected[-1])
+    rows = kn.judge_quality(docs, labels).collect()
+    monkeypatch.undo()
+    most = sum(min(kn.SYMBOLS**k, sum(map(len, TEXTS))) for k in range(1, kn.ORDER + 1))
+    assert len(rows) == 20 and len(collected) > 3
+    assert all("lang" not in t.column_names and t.num_rows <= most for t in collected)
+
+
+def test_orders_of_the_characters_share_their_shuffles(spark):
+    """Every order had joins of its own before."""
+    counts = kn.ngram_counts(documents(spark, TEXTS).select("doc_id", "text", "lang"))
+    plan = kn.model_rows(counts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4
+
+
+def test_limits_are_found_without_the_texts(spark, tmp_path):
+    """Texts were read and shuffled again for the limits and for the names of models."""
+    path = str(tmp_path / "documents")
+    documents(spark, TEXTS * 4).write.parquet(path)
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    judged = kn.judge_quality(spark.read.parquet(path), labels)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and path not in plan and "text#" not in plan.replace("text_id#", "")
+
+
+def test_symbols_of_each_text_begin_at_a_border():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aZ9 .é漢\n", k=rng.randrange(0, 7))) for _ in range(200)] + [None]
+    code, offsets = kn.symbol_codes(pa.array(texts))
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        s = [kn.BORDER] * (kn.ORDER - 1) + symbols(text or "")
+        want = [sum(x * kn.SYMBOLS**i for i, x in enumerate(reversed(s[j : j + kn.ORDER]))) for j in range(len(s) - kn.ORDER + 1)]
+        assert code[a:b].tolist() == want
