@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clearlane.llm import phrases
@@ -130,3 +132,75 @@ def test_hot_row_in_many_copies(spark):
     texts = ["alpha beta gamma"] * 300 + ["beta gamma"] * 50
     got = result(phrases.collocations(documents(spark, texts, ids=[1] * 350)))
     assert got == brute([(t, "en") for t in texts], 100, 5, 2000)
+
+
+class Task:
+    """Stands for the context of a task."""
+
+    @staticmethod
+    def get():
+        return Task
+
+    @staticmethod
+    def partitionId():
+        return 0
+
+
+def numpy_peak(run):
+    """MB of numpy arrays held at once."""
+    tracemalloc.start()
+    try:
+        got = run()
+        return got, tracemalloc.get_traced_memory()[1] / (1 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_slice_takes_a_bounded_multiple_of_its_words(monkeypatch):
+    """Texts are not kept until their slice is full, and pairs are counted and
+    looked up without wide arrays of all places."""
+    monkeypatch.setattr(phrases, "TaskContext", Task)
+    rng = np.random.default_rng(3)
+    names = np.array([f"word{i}" for i in range(20_000)])
+    texts = [" ".join(names[np.minimum(rng.zipf(1.3, 2000), 20_000) - 1]) + "." for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 300)], names=["text", "lang"])
+    mb = batch.nbytes / (1 << 20)
+    assert 3 < mb < 4  # one slice
+    (cut,), peak = numpy_peak(lambda: list(phrases._slices(iter([batch]))))
+    words = cut["words"][0].values.to_pylist()
+    seq = phrases.unpack(cut["seq"][0].as_py(), np.int32)
+    assert [" ".join(words[i] for i in x) for x in np.split(seq, np.flatnonzero(seq < 0) + 1) for x in [x[x >= 0]] if len(x)] == [t[:-1] for t in texts]
+    assert dict(zip(words, cut["counts"][0].values.to_pylist(), strict=True)) == Counter(w for t in texts for w in t[:-1].split(" "))
+    assert peak < 8 * mb
+    rank = np.argsort(np.argsort(-np.bincount(seq[seq >= 0]), kind="stable")).astype(np.int32)
+    runs = phrases._sequence(1, np.append(rank, np.int32(-1))[seq])
+    blocks, peak = numpy_peak(lambda: list(phrases._blocks(iter([runs]))))
+    assert peak < 13 * mb
+    tiles, ns = blocks[0]["tile"].to_pylist(), [phrases.unpack(x.as_py(), np.int64) for x in blocks[0]["ns"]]
+    assert sum(n.sum() for n in ns) == 300 * 1999 and max(len(n) for n in ns) > 1000
+    keys = np.concatenate([np.int64(t) << 20 | phrases.unpack_sorted(c.as_py(), np.int32) for t, c in zip(tiles, blocks[0]["cells"], strict=True)])
+    known = np.concatenate(ns) >= 3
+    ids = np.arange(known.sum(), dtype=np.int32)
+    found = [[{"keys": phrases.pack_sorted(keys[known]), "ids": phrases.pack(ids)}]]
+    asked = pa.RecordBatch.from_arrays([runs["slice"], runs["seq"], pa.array(found)], names=["slice", "seq", "found"])
+    (longer,), peak = numpy_peak(lambda: list(phrases._recode_pairs(iter([asked]))))
+    assert peak < 8 * mb
+    got = phrases.unpack(longer["seq"][0].as_py(), np.int32)
+    paired = Counter(got[got >= 0].tolist())
+    counted = np.concatenate(ns)[known]
+    assert paired and all(n <= counted[i] for i, n in paired.items())
+
+
+def test_batches_between_spark_and_python_are_short(spark, monkeypatch):
+    seen = []
+    inside = phrases.phrase_counts
+    monkeypatch.setattr(phrases, "phrase_counts", lambda *x: seen.append(spark.conf.get(phrases.BATCH_LIMIT)) or inside(*x))
+    df = documents(spark, ["alpha beta"] * 100)
+    assert [r[2] for r in result(phrases.collocations(df))] == ["alpha beta"]
+    assert seen == [str(phrases.BATCH_BYTES)] and spark.conf.get(phrases.BATCH_LIMIT, None) is None
+    spark.conf.set(phrases.BATCH_LIMIT, "1m")
+    try:
+        phrases.collocations(df)
+        assert seen[1:] == ["1m"] and spark.conf.get(phrases.BATCH_LIMIT) == "1m"
+    finally:
+        spark.conf.unset(phrases.BATCH_LIMIT)
