@@ -10,6 +10,8 @@ from clearlane.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "clearlane-tests", **{"spark.sql.shuffle.partitions": "8"})
+    # plans are read as text: late in a session column ids are longer, and 100 characters, the usual limit, cut the filters off
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.maxMetadataStringLength": "2000"}
+    session = local_session(8, "clearlane-tests", **settings)
     yield session
     session.stop()
