@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 
 from clearlane.llm import phrases
+from clearlane.operators import staging
 from tests.llm.cases import ODD, UPPER, documents
+from tests.test_staging import row_groups
 
 
 def pieces(text):
@@ -204,3 +206,21 @@ def test_batches_between_spark_and_python_are_short(spark, monkeypatch):
         assert seen[1:] == ["1m"] and spark.conf.get(phrases.BATCH_LIMIT) == "1m"
     finally:
         spark.conf.unset(phrases.BATCH_LIMIT)
+
+
+def test_slices_are_stored_a_few_at_a_time(spark, monkeypatch):
+    """Rows of slices are some MB long; a task that writes or reads them holds a few."""
+    monkeypatch.setitem(staging.LONG_ROWS, "parquet.block.size", 1 << 20)
+    word = "concat('w', CAST((id * 7919 + i * i * 31) % 5000 AS STRING))"
+    docs = spark.range(0, 1500, 1, 1).selectExpr(f"array_join(transform(sequence(1, 2000), i -> {word}), ' ') AS text", "'en' AS lang")
+    before = staging.staged()
+    tables, total = phrases.phrase_counts(docs, "text", "lang", 400, 3)
+    assert total.first()["total"] == 1500 * 2000
+    assert tables[0].agg({"n": "sum"}).first()[0] <= 1500 * 2000
+    found = 0
+    for path in set(staging.staged()) - set(before):
+        if "seq" in spark.read.parquet(path).columns:
+            groups = row_groups(path.removeprefix("file:"))
+            assert max(map(max, groups)) <= 2
+            found = max(found, *map(len, groups))
+    assert found > 1

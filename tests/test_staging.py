@@ -1,6 +1,7 @@
 import os
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,18 @@ def test_shuffled_files_of_a_staged_table_go_at_once(spark):
         time.sleep(0.1)
     assert not shuffled() - before
     assert got.count() == 7 and spark.conf.get(staging.SHUFFLE_CLEANUP) == setting
+
+
+def row_groups(path):
+    """Rows of each row group of a staged table, by file."""
+    files = [pq.read_metadata(f"{path}/{f}") for f in sorted(os.listdir(path)) if f.endswith(".parquet")]
+    return [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in files]
+
+
+def test_long_rows_are_stored_a_few_at_a_time(spark):
+    """A task that writes or reads rows of some MB holds a few of them, not 100."""
+    rows = spark.range(0, 20, 1, 1).selectExpr("id", "CAST(randstr(2000000, 7) AS BINARY) AS long")
+    table = staging.stage_table(rows, long_rows=True)
+    (groups,) = row_groups(staging.staged()[-1].removeprefix("file:"))
+    assert sum(groups) == 20 and max(groups) <= 7
+    assert [tuple(r) for r in table.groupBy("id").agg(F.max(F.length("long"))).sort("id").collect()] == [(i, 2000000) for i in range(20)]
